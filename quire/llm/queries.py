@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import external_shuffle, language_id, line_dedup, packing, quality_cascade, simhash, string_tiling, toxicity, wordpiece_count
+from quire.llm import compact_windows, external_shuffle, language_id, line_dedup, packing, quality_cascade, simhash, string_tiling, toxicity, wordpiece_count
 from quire.llm.common import id_crc, table
 
 
@@ -58,6 +58,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compact_windows.passages(docs)
+
+
 def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return string_tiling.matches(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -94,6 +99,7 @@ QUERIES = {
         op2_external_shuffle,
         op3_quality_cascade,
         op4_line_dedup,
+        op5_compact_windows,
         op6_string_tiling,
         op7_wordpiece_counts,
         op8_simhash,
