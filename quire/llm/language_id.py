@@ -34,7 +34,7 @@ _COMPRESSORS: dict[str, list[tuple[str, zstandard.ZstdCompressor]]] = {}
 def fit(labelled: DataFrame, texts_each: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionaries {language: content} from rows (doc_id, text, lang).
 
-    The sample is bounded: about `texts_each` texts a language, chosen by a hash of doc_id, and
+    The sample is bounded: about `texts_each` texts a language, chosen by a hash of id and text, and
     at most `chars` characters of each. Rows without text or language are not used; no
     usable row gives an empty model. The collected rows never exceed 4 * texts_each * languages.
     """
@@ -42,11 +42,12 @@ def fit(labelled: DataFrame, texts_each: int = SAMPLE_TEXTS, chars: int = SAMPLE
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.xxhash64("doc_id", "text")
+    draw = F.pmod(chance, F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * texts_each / n))])
     sample = (
         rows.where(draw < share[F.col("lang")])
-        .select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, chars).alias("piece"))
+        .select("lang", chance.alias("h"), F.substring("text", 1, chars).alias("piece"))
         .limit(4 * texts_each * len(counts))
         .collect()
     )
