@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import accent_marks, tokens, unaccented
+from quire.sources.shared import checkpointed
 
 
 def best_lines(sentences: DataFrame, lines: DataFrame, sentence_key: str, line_keys: list[str], least: int = 3, share: float = 0.5) -> DataFrame:
@@ -88,8 +89,54 @@ def near_words(suspects: DataFrame, source: DataFrame, key: str, most: int = 2)
     out = None
     for _ in range(max(1, math.ceil(most)) + 2):
         marked = left.withColumn("x", best(["word", "o"])).withColumn("y", best(["near", "p"]))
-        won = marked.where("x = 1 and y = 1").select(key, "word", "o", "near", "p", "edits").checkpoint()
+        won = checkpointed(marked.where("x = 1 and y = 1").select(key, "word", "o", "near", "p", "edits"))
         out = won if out is None else out.union(won)
         left = left.join(won.select(key, "word", "o"), [key, "word", "o"], "left_anti").join(won.select(key, "near", "p"), [key, "near", "p"], "left_anti")
-        left = left.checkpoint()
+        left = checkpointed(left)
     return out.select(key, "word", "near", "edits")
+
+
+def containing(quotes: DataFrame, texts: DataFrame, quote_key: str, text_key: str) -> DataFrame:
+    """(quote_key, text_key): for each quote the first text that contains it, word for word.
+
+    A text that contains a quote has all its inner words, so both meet on the quote's rarest inner word
+    (or its first, if it has no inner one) and the containment is tested on these pairs. Both have `text`.
+    """
+    ws = tokens(F.col("text"))
+    inner = F.when(F.size(ws) > 2, F.slice(ws, F.lit(2), F.size(ws) - 2)).otherwise(ws)
+    asked = quotes.select(quote_key, F.col("text").alias("q"), F.explode(F.array_distinct(inner)).alias("w"))
+    known = asked.select("w").distinct()
+    index = texts.select(text_key, F.explode(F.array_distinct(ws)).alias("w")).join(F.broadcast(known) if _small(known) else known, "w")
+    rarity = index.groupBy("w").agg(F.count("*").alias("df"))
+    probe = asked.join(rarity, "w").groupBy(quote_key, "q").agg(F.min_by("w", F.struct("df", "w")).alias("w"), F.count("*").alias("n"))
+    whole = asked.groupBy(quote_key).agg(F.count("*").alias("all"))  # a word that no text has rules the quote out
+    probe = probe.join(whole, quote_key).where("n = all").select(quote_key, "q", "w")
+    met = probe.join(index, "w").join(texts.select(text_key, "text"), text_key).where(F.contains("text", "q"))
+    return met.groupBy(quote_key).agg(F.min(text_key).alias(text_key))
+
+
+def occurrences(texts: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, word, place, nth): every word of a text with its place and its running number among equal words."""
+    ws = texts.select(key, F.posexplode(tokens(text)).alias("place", "word"))
+    return ws.withColumn("nth", F.row_number().over(Window.partitionBy(key, "word").orderBy("place")))
+
+
+def first_of_similar(entries: DataFrame, keys: list[str], order: str, title: str) -> DataFrame:
+    """Entries of a group without those whose title is similar to that of an earlier one that stayed.
+
+    First wins, one after the other, so each group (entries with one number: a handful) is gone through in order.
+    """
+    import re
+
+    import pandas as pd
+
+    def keep(group: pd.DataFrame) -> pd.DataFrame:
+        kept, sets = [], []
+        for i, t in group.sort_values(order)[title].items():
+            own = set(re.findall(r"[^\W_]+", (t or "").lower()))
+            if not any(own and s and len(own & s) >= 0.5 * min(len(own), len(s)) for s in sets):
+                kept.append(i)
+                sets.append(own)
+        return group.loc[kept]
+
+    return entries.groupBy(*keys).applyInPandas(keep, entries.schema)

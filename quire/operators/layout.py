@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.sources.shared import checkpointed
+
 
 def decorative_reason(width: Column, height: Column, w: Column, h: Column, area_pct: Column, part_of: Column) -> Column:
     """Why an image is decoration: shard, pixels, points, aspect or share; null if it is not."""
@@ -44,12 +46,12 @@ def groups(boxes: DataFrame, page: str, ident: str, gap: float) -> DataFrame:
     at once, until nothing changes.
     """
     links = touching(boxes, page, ident, gap)
-    both = links.union(links.select(page, F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    both = checkpointed(links.union(links.select(page, F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = boxes.select(page, F.col(ident).alias("a"), F.col(ident).alias("g"))
     while True:
         nearest = both.join(labels.select(page, F.col("a").alias("b"), F.col("g").alias("ng")), [page, "b"]).groupBy(page, "a").agg(F.min("ng").alias("ng"))
         step = labels.join(nearest, [page, "a"], "left").select(page, "a", F.least("g", F.coalesce("ng", "g")).alias("g"), (F.col("ng") < F.col("g")).alias("moved"))
-        step = step.checkpoint()
+        step = checkpointed(step)
         labels = step.select(page, "a", "g")
         if step.where("moved").limit(1).count() == 0:
             return labels.select(page, F.col("a").alias(ident), F.col("g").alias("group"))
@@ -92,3 +94,17 @@ def nearest_text(images: DataFrame, text: DataFrame, page: str, ident: str, most
     best = ranked.withColumn("b", F.min("rank").over(Window.partitionBy("__p", "__i"))).where("rank = b")
     lines = F.slice(F.sort_array(F.collect_list(F.struct("far", "text"))), 1, most)
     return best.groupBy(F.col("__p").alias(page), F.col("__i").alias(ident)).agg(F.array_join(F.transform(lines, lambda x: x["text"]), " ").alias("nearby"))
+
+
+def face_of_type(blocks: DataFrame, container: str, style: str, marked: Column, share: float = 0.5) -> DataFrame:
+    """(container, style, share): styles that more than `share` of a container's blocks wear whole:
+    they are the face of the type there, not emphasis."""
+    counts = blocks.groupBy(container).agg(F.count("*").alias("all"))
+    whole = blocks.where(marked).groupBy(container, style).agg(F.count("*").alias("n"))
+    out = whole.join(counts, container).select(container, style, F.round(F.col("n") / F.col("all"), 6).alias("share"))
+    return out.where(F.col("share") > share)
+
+
+def unplaced(images: DataFrame, ident: list[str], reason: Column, used: DataFrame) -> DataFrame:
+    """Ids of images that are no decoration and that no placed block uses."""
+    return images.where(reason.isNull()).select(*ident).join(used.select(*ident), ident, "left_anti")

@@ -103,3 +103,30 @@ def spreads(pages: DataFrame, owner: str, pdf: str, facing: str, printed: str) -
 def shared_pages(owned: DataFrame, page: str, owner: str) -> DataFrame:
     """(page, owners, shared): number of distinct owners of each page, and whether it has several."""
     return owned.select(page, owner).distinct().groupBy(page).agg(F.count("*").alias("owners")).withColumn("shared", F.col("owners") > 1)
+
+
+def stitched(pieces: DataFrame, owner: str, page: str, order: str, starts: str, from_page: str) -> DataFrame:
+    """Pieces with `article`: the number of the article, per owner, that each belongs to.
+
+    A piece that starts opens an article; one that does not belongs to the running one. A piece
+    that says which page it continues from goes to the article that was last on that page, however many
+    others came between. Pieces before the first start are article 0. Pages that are no part of any
+    article are left out before.
+    """
+    spot = Window.partitionBy(owner).orderBy(page, order)
+    running = F.sum(F.col(starts).cast("int")).over(spot.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = pieces.withColumn("__run", running)
+    last = numbered.groupBy(F.col(owner).alias("__o"), F.col(page).alias("__p")).agg(F.max_by("__run", order).alias("__there"))
+    jumped = numbered.join(last, (F.col(owner) == F.col("__o")) & (F.col(from_page) == F.col("__p")) & ~F.col(starts) & (F.col(from_page) < F.col(page)), "left")
+    return jumped.withColumn("article", F.coalesce("__there", "__run")).drop("__run", "__o", "__p", "__there")
+
+
+def merged_by_verdict(articles: DataFrame, owner: str, order: str, verdict: str, merge: str = "same") -> DataFrame:
+    """(owner, first, last, parts): neighbouring articles joined where the verdict on the boundary before one says so.
+
+    Verdicts count in page order; a first article's own verdict has nothing to join.
+    """
+    spot = Window.partitionBy(owner).orderBy(order)
+    opens = F.when((F.col(verdict) == merge) & F.lag(order).over(spot).isNotNull(), 0).otherwise(1)
+    runs = articles.withColumn("__open", opens).withColumn("__run", F.sum("__open").over(spot))
+    return runs.groupBy(owner, "__run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("parts")).drop("__run")

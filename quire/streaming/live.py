@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from quire.sources.shared import shared_dir
+
 #: Fixed value: the character that clears what was received and starts anew.
 RESTART = "\f"
 
@@ -25,12 +27,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where is None:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="spark-quire-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_available(spark: SparkSession, out: DataFrame, name: str, mode: str) -> DataFrame:

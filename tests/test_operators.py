@@ -133,3 +133,21 @@ def test_html_is_escaped(spark):
 def test_fold_batch(spark):
     df = spark.createDataFrame([(1, 1, "ab"), (1, 2, "\f"), (1, 3, "cd"), (2, 1, None)], "k int, o int, t string")
     assert rows(live.fold_text_batch(df, "k", "o", "t"), "k", "text") == [(1, "cd"), (2, "")]
+
+
+def test_first_of_similar_is_greedy(spark):
+    data = [(1, 5, 0, "grote reis naar zee"), (1, 5, 1, "reis zee"), (1, 5, 2, "iets anders"), (1, 6, 3, "grote reis naar zee"), (1, 5, 4, None)]
+    df = spark.createDataFrame(data, "m int, n int, ord int, title string")
+    assert rows(align.first_of_similar(df, ["m", "n"], "ord", "title"), "ord") == [(0,), (2,), (3,), (4,)]
+
+
+def test_stitched_articles(spark):
+    data = [(1, False, None), (2, True, None), (3, False, None), (4, True, None), (5, False, 3), (6, False, None)]
+    df = spark.createDataFrame([("m", p, 0, s, f) for p, s, f in data], "o string, p int, i int, s boolean, f int")
+    assert [a for _, a in rows(pages.stitched(df, "o", "p", "i", "s", "f"), "p", "article")] == [0, 1, 1, 2, 1, 2]
+
+
+def test_containing(spark):
+    q = spark.createDataFrame([(1, "rode kat slaapt"), (2, "kat"), (3, "nergens te vinden"), (4, "de kat")], "q int, text string")
+    t = spark.createDataFrame([(5, "de rode kat slaapt nu"), (6, "een kat"), (7, None)], "t int, text string")
+    assert rows(align.containing(q, t, "q", "t"), "q", "t") == [(1, 5), (2, 5)]
