@@ -104,14 +104,14 @@ def containing(quotes: DataFrame, texts: DataFrame, quote_key: str, text_key: st
     """
     ws = tokens(F.col("text"))
     inner = F.when(F.size(ws) > 2, F.slice(ws, F.lit(2), F.size(ws) - 2)).otherwise(ws)
-    asked = quotes.select(quote_key, F.col("text").alias("q"), F.explode(F.array_distinct(inner)).alias("w"))
-    known = asked.select("w").distinct()
-    index = texts.select(text_key, F.explode(F.array_distinct(ws)).alias("w")).join(F.broadcast(known) if _small(known) else known, "w")
-    rarity = index.groupBy("w").agg(F.count("*").alias("df"))
-    probe = asked.join(rarity, "w").groupBy(quote_key, "q").agg(F.min_by("w", F.struct("df", "w")).alias("w"), F.count("*").alias("n"))
-    whole = asked.groupBy(quote_key).agg(F.count("*").alias("all"))  # a word that no text has rules the quote out
-    probe = probe.join(whole, quote_key).where("n = all").select(quote_key, "q", "w")
-    met = probe.join(index, "w").join(texts.select(text_key, "text"), text_key).where(F.contains("text", "q"))
+    asked = quotes.select(quote_key, F.col("text").alias("__quote"), F.explode(F.array_distinct(inner)).alias("__w"))
+    known = asked.select("__w").distinct()
+    index = texts.select(text_key, F.explode(F.array_distinct(ws)).alias("__w")).join(F.broadcast(known) if _small(known) else known, "__w")
+    rarity = index.groupBy("__w").agg(F.count("*").alias("__df"))
+    probe = asked.join(rarity, "__w").groupBy(quote_key, "__quote").agg(F.min_by("__w", F.struct("__df", "__w")).alias("__w"), F.count("*").alias("__n"))
+    whole = asked.groupBy(quote_key).agg(F.count("*").alias("__all"))  # a word that no text has rules the quote out
+    probe = probe.join(whole, quote_key).where("__n = __all").select(quote_key, "__quote", "__w")
+    met = probe.join(index, "__w").join(texts.select(text_key, "text"), text_key).where(F.contains("text", "__quote"))
     return met.groupBy(quote_key).agg(F.min(text_key).alias(text_key))
 
 
