@@ -47,15 +47,10 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its lines with a word before and after, and the crc32 of the text that is left."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    count = F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", count.alias("n_lines"))
     out = line_dedup.dedup_lines(docs)
-    count = lambda c: F.coalesce(F.size(F.filter(F.split(c, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))
-    return out.select(
-        "doc_id",
-        count(F.col("before")).alias("n_lines"),
-        count(F.col("text")).alias("n_kept"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc32"),
-    )
+    return out.select("doc_id", "n_lines", count.alias("n_kept"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_crc32"))
 
 
 def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
