@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import clipped, stray_letters
+from quire.functions.text import clipped, compare_key, stray_letters
 from quire.operators.coverage import repeated_lines
 from quire.sources.tables import text_lines
 
@@ -33,8 +33,6 @@ def document_findings(docs: DataFrame) -> DataFrame:
     begins = docs.where(F.regexp_extract(text, r"^\s*(\S)", 1).rlike(r"\p{Ll}"))
     lines = text_lines(docs)
     common = repeated_lines(lines, "source", "doc_id", F.col("text"), 3).select("source", "key")
-    from quire.functions.text import compare_key
-
     hits = lines.withColumn("key", compare_key(F.col("text"))).join(common, ["source", "key"]).groupBy("doc_id").agg(F.count("*").alias("__n"))
     return reduce(
         DataFrame.unionByName,

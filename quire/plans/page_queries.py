@@ -229,9 +229,9 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {DOC_FINDINGS} select f.* from f left join labels on doc_id = "owner" and quality = 1 where doc_id is null""")
 def open_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of documents that no label calls good."""
-    ticked = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("owner"))
-    kinds = ticked.crossJoin(spark.createDataFrame([(k,) for k in ("empty", "symbols", "repeated_line", "stray_letters", "lower_case_start")], "kind string"))
-    return findings.open_findings(findings.document_findings(table(spark, sf_dir, "documents")), kinds)
+    kinds = F.array(*map(F.lit, ("empty", "symbols", "repeated_line", "stray_letters", "lower_case_start")))
+    ticked = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("owner"), F.explode(kinds).alias("kind"))
+    return findings.open_findings(findings.document_findings(table(spark, sf_dir, "documents")), ticked)
 
 
 NODES = """ln as (select doc_id, trim(t) text, ord - 1 ord from (select doc_id, unnest(string_split(text, chr(10))) t, generate_subscripts(string_split(text, chr(10)), 1) ord from documents) where regexp_matches(t, '[\\p{L}\\p{N}]')),
