@@ -120,3 +120,21 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.functions import text
 
     return table(spark, sf_dir, "documents").select("doc_id", text.head(F.col("text"), 40).alias("head"), text.tail(F.col("text"), 40).alias("tail"))
+
+
+@query("""with t as (select doc_id, string_split(text, ' ') w from documents where len(string_split(text, ' ')) >= 12)
+select doc_id, count(*) placed from t, range(0, 2) group by doc_id""")
+def place_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fragments of each document of twelve words or more, its words 6-7 and 10-11 with what stands
+    before them: all are in the text, so all are placed."""
+    from quire.operators.placing import place_fragments as place
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text"), F.split("text", " ").alias("w")).where(F.size("w") >= 12)
+    cut = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    parts = F.array(
+        F.struct(F.lit(0).alias("fragment"), cut(6, 2).alias("text"), cut(3, 3).alias("before")),
+        F.struct(F.lit(1).alias("fragment"), cut(10, 2).alias("text"), cut(8, 2).alias("before")),
+    )
+    fragments = docs.select("doc_id", F.explode(parts).alias("f")).select("doc_id", "f.*")
+    placed = place(docs.select("doc_id", F.lit(0).alias("block"), "text"), fragments, "doc_id")
+    return placed.where("start is not null").groupBy("doc_id").agg(F.count("*").alias("placed"))

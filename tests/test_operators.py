@@ -151,3 +151,14 @@ def test_containing(spark):
     q = spark.createDataFrame([(1, "rode kat slaapt"), (2, "kat"), (3, "nergens te vinden"), (4, "de kat")], "q int, text string")
     t = spark.createDataFrame([(5, "de rode kat slaapt nu"), (6, "een kat"), (7, None)], "t int, text string")
     assert rows(align.containing(q, t, "q", "t"), "q", "t") == [(1, 5), (2, 5), (4, 5)]  # "rode kat" holds "de kat"
+
+
+def test_place_fragments(spark):
+    from quire.operators.placing import place_fragments
+
+    blocks = [(1, 0, "De kat zag de kat."), (1, 1, "Een café in Parijs, onvergetelijke dagen"), (2, 0, "niets")]
+    asked = [(1, 0, "kat", "zag de"), (1, 1, "cafe", ""), (1, 2, "onvergetelijkke dagen", ""), (1, 3, "kat", "De"), (1, 4, "ontbreekt", ""), (2, 0, None, None)]
+    b = spark.createDataFrame(blocks, "page int, block int, text string")
+    f = spark.createDataFrame(asked, "page int, fragment int, text string, before string")
+    got = rows(place_fragments(b, f, "page"), "page", "fragment", "block", "start", "how")
+    assert got == [(1, 0, 0, 14, "context"), (1, 1, 1, 4, "alone"), (1, 2, 1, 20, "near"), (1, 3, None, None, None), (1, 4, None, None, None), (2, 0, None, None, None)]
