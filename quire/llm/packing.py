@@ -208,8 +208,8 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece.
 
     Offsets are gapless from 0 in each sequence of at most `capacity` tokens. Rows that repeat
-    a doc_id are packed each for itself. An empty table gives an empty one. sequence_id is a
-    hash of the sequence's name, kept apart from equal hashes by its rank.
+    a doc_id are packed each for itself. An empty table gives an empty one. sequence_id is any
+    number, another one for each sequence.
     """
     cuts = written(pieces(docs, vocabulary, capacity), "pieces")
     named = cuts.withColumn("item", F.concat_ws("/", "row", "piece"))

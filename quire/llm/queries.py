@@ -103,4 +103,18 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The same rows in DuckDB; the cascade's order doesn't change its verdict, so SQL can state it.
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_cascade": r"""
+with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+b as (select doc_id, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) ls from d),
+p as (select doc_id, w, unnest(range(1, len(w) - 1)) i from d where len(w) > 2),
+g as (select doc_id, i, count(*) over (partition by doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) n from p),
+r as (select doc_id, count(distinct i + j)::bigint n_repeat_words from g, range(0, 3) q(j) where n > 1 group by doc_id),
+a as (select doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, coalesce(n_repeat_words, 0)::bigint n_repeat_words, len(ls) n_lines
+  from b left join r using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 100 * n_symbols > 10 * n_words or 100 * n_dup_lines > 30 * n_lines or word_chars > 40 * n_words) kept from a""",
+}
