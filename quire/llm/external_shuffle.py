@@ -16,9 +16,13 @@ from pyspark.sql.window import Window
 from quire.llm.common import byte_length, written
 
 BUCKET_BYTES = 8 << 20
+#: Most bytes of text that one task of the second pass gets on average.
+TASK_BYTES = 128 << 20
 LAW = "rows"
 #: Buckets that share one prefix sum; sums of groups are added in a second, small one.
 GROUP = 1024
+#: Most buckets whose first positions are sent to all tasks (about 50 bytes each).
+BROADCAST_BUCKETS = 200_000
 
 
 def scatter(docs: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
@@ -30,8 +34,10 @@ def scatter(docs: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
     """
     total = docs.agg(F.sum(byte_length(F.col("text")) + 64)).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // TASK_BYTES))
     draw = F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), "doc_id")
-    return docs.withColumn("draw", draw).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(buckets)))
+    drawn = docs.withColumn("draw", draw).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(buckets)))
+    return drawn.repartition(tasks, "bucket")
 
 
 def external_shuffle(docs: DataFrame, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -56,6 +62,7 @@ def shards(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_bytes: in
     shards are empty. Equal texts are records like others and need not stay together.
     """
     mixed = external_shuffle(docs, seed, bucket_bytes)
+    few = mixed.select("bucket").distinct().limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS
     counts = mixed.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("g", F.expr(f"bucket div {GROUP}"))
     groups = counts.groupBy("g").agg(F.sum("n").alias("n"))
     before = groups.select(
@@ -68,7 +75,8 @@ def shards(docs: DataFrame, n_shards: int = 24, seed: int = 17, bucket_bytes: in
         "total",
         (F.col("before") + F.sum("n").over(Window.partitionBy("g").orderBy("bucket")) - F.col("n")).alias("start"),
     )
-    placed = mixed.join(starts, "bucket").withColumn("at", F.col("start") + F.col("pos"))
+    # the starts are a row for each bucket: sent to the tasks if few, else the records are shuffled once more
+    placed = mixed.join(F.broadcast(starts) if few else starts, "bucket").withColumn("at", F.col("start") + F.col("pos"))
     # shard s takes positions [s * total div n, (s + 1) * total div n)
     placed = placed.withColumn("shard", F.expr(f"((at + 1) * {n_shards} - 1) div total").cast("int"))
     return placed.select(
