@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,23 +75,35 @@ def near_words(suspects: DataFrame, source: DataFrame, key: str, most: int = 2)
 
     Greedy by edits, then order: a pair stands if it is the best of both its words; the
     pairs left are looked at again until none is. Candidates share a length within `most` and a first
-    or last letter, which join instead of all pairs. Both sides have (key, word, ord).
+    or last letter, which join instead of all pairs. Suspects that are left take the closest unused source
+    word of their key at any distance. Both sides have (key, word, ord).
     """
     ends = F.array_distinct(F.array(F.concat(F.lit("a"), F.left("word", F.lit(1))), F.concat(F.lit("z"), F.right("word", F.lit(1)))))
-    a = suspects.select(key, F.col("word"), F.col("ord").alias("o"), F.explode(ends).alias("e"))
-    b = source.select(key, F.col("word").alias("near"), F.col("ord").alias("p"), F.explode(ends).alias("e"))
+    a = suspects.select(key, F.col("word"), F.col("ord").alias("o"))
+    b = source.select(key, F.col("word").alias("near"), F.col("ord").alias("p"), ends.alias("ends"))
     edits = F.levenshtein("word", "near", most)
-    left = a.join(b, [key, "e"]).where(F.abs(F.char_length("word") - F.char_length("near")) <= most).withColumn("edits", edits)
-    left = left.where("edits >= 0").select(key, "word", "o", "near", "p", "edits").distinct()
+    left = a.withColumn("e", F.explode(ends)).join(b.withColumn("e", F.explode("ends")), [key, "e"])
+    left = left.where(F.abs(F.char_length("word") - F.char_length("near")) <= most).withColumn("edits", edits)
+    first = _paired(left.where("edits >= 0").select(key, "word", "o", "near", "p", "edits").distinct(), key)
+    a = a.join(first.select(key, "word", "o"), [key, "word", "o"], "left_anti")
+    b = b.drop("ends").join(first.select(key, "near", "p"), [key, "near", "p"], "left_anti")
+    far = a.join(b, key).withColumn("edits", F.levenshtein("word", "near"))
+    found = first.union(_paired(far.select(key, "word", "o", "near", "p", "edits").distinct(), key))
+    return found.select(key, "word", "near", "edits")
+
+
+def _paired(left: DataFrame, key: str) -> DataFrame:
+    """The greedy one-to-one choice from pairs (key, word, o, near, p, edits): best of both words, until none is left."""
     best = lambda side: F.row_number().over(Window.partitionBy(key, *side).orderBy("edits", "o", "p"))
-    out = None
-    for _ in range(max(1, math.ceil(most)) + 2):
+    left = checkpointed(left)
+    out = left.limit(0)
+    while left.limit(1).count():
         marked = left.withColumn("x", best(["word", "o"])).withColumn("y", best(["near", "p"]))
         won = checkpointed(marked.where("x = 1 and y = 1").select(key, "word", "o", "near", "p", "edits"))
-        out = won if out is None else out.union(won)
+        out = out.union(won)
         left = left.join(won.select(key, "word", "o"), [key, "word", "o"], "left_anti").join(won.select(key, "near", "p"), [key, "near", "p"], "left_anti")
         left = checkpointed(left)
-    return out.select(key, "word", "near", "edits")
+    return checkpointed(out)
 
 
 def containing(quotes: DataFrame, texts: DataFrame, quote_key: str, text_key: str) -> DataFrame:
