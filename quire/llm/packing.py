@@ -1,9 +1,9 @@
 """Operator 10: best-fit packing of tokenised documents by hierarchical residual packing.
 
 Documents become token ids, are cut into pieces of at most `capacity`, and the pieces are packed
-into sequences of that size: every partition packs its items best-fit, largest first, sends out
-the bins that are nearly full, and hands the others on as items, several partitions at a time
-merging in a tree, until one small partition is left. Only lengths travel after the first pass.
+into sequences of that size: every partition packs its items best-fit, largest first, which leaves it
+at most one bin that is half full or less. Fuller bins can't join each other, so one small last task
+packs those few and the bins that could take them. Only lengths travel after the first pass.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.common import own_columns, slices, texts, written
 
@@ -23,9 +24,8 @@ CAPACITY = 2048
 #: Ends each document (fixed value).
 END_ID = 0
 ID_BYTES = 4
-#: Items that one task packs in a round, and how many such shares one task of the next round takes.
+#: Items that one task packs.
 ITEMS_EACH = 200_000
-MERGE = 8
 #: A bin with at most this many free places is sent out before the last round.
 NEARLY_FULL = 16
 
@@ -181,27 +181,26 @@ def _round(items: DataFrame, parts: int, number: int, capacity: int, spare: int)
 def pack(sized: DataFrame, capacity: int = CAPACITY, items_each: int = ITEMS_EACH) -> DataFrame:
     """(item, bin) for all rows (item string, size long) with 1 <= size <= capacity; items differ.
 
-    A round packs shares of about `items_each` items; bins that are nearly full are final, the others are
-    the items of the next round, which has `MERGE` times fewer shares. The last
-    round is one share: what it gets are the underfull bins alone, a few for each share before.
+    Shares of about `items_each` items are packed each for itself. At most one bin of a share is half full or
+    less (two would have been one), and fuller bins can't be joined: what is left to do is to place these few
+    bins. The last task gets them and, of each fill that leaves room, as many bins as there are of them: never
+    more than shares x capacity / 2 rows, whatever the sizes are.
     """
-    n = sized.count()
-    parts = max(1, -(-n // items_each))
-    number, items, steps = 0, sized.select("item", "size"), []
-    while True:
-        step = written(_round(items, parts, number, capacity, NEARLY_FULL), "packing")
-        steps.append(step)
-        if parts == 1:
-            break
-        items = step.where("not done").groupBy("bin").agg(F.max("used").alias("size")).select(F.col("bin").alias("item"), "size")
-        parts, number = max(1, parts // MERGE), number + 1
-    # from the last round back: the bin of a bin is the sequence
-    final = steps[-1].select("item", F.col("bin").alias("sequence"))
-    for step in reversed(steps[:-1]):
-        closed = step.where("done").select("item", F.col("bin").alias("sequence"))
-        handed = step.where("not done").select("item", "bin")
-        final = closed.union(handed.join(final.withColumnRenamed("item", "bin"), "bin").select("item", "sequence"))
-    return final
+    parts = max(1, -(-sized.count() // items_each))
+    step = written(_round(sized.select("item", "size"), parts, 0, capacity, NEARLY_FULL), "packing")
+    packed = step.select("item", F.col("bin").alias("sequence"))
+    if parts == 1:
+        return packed
+    bins = written(step.where("not done").groupBy("bin").agg(F.max("used").alias("size")).select(F.col("bin").alias("item"), "size"), "packing-open")
+    small = bins.where(2 * F.col("size") <= capacity)
+    few, least = small.agg(F.count("*"), F.min("size")).first()
+    if not few:
+        return packed
+    place = F.row_number().over(Window.partitionBy("size").orderBy("item"))
+    takers = bins.where((2 * F.col("size") > capacity) & (F.col("size") <= capacity - least)).withColumn("place", place).where(F.col("place") <= few)
+    last = written(_round(small.union(takers.select("item", "size")), 1, 1, capacity, NEARLY_FULL), "packing")
+    moved = last.select(F.col("item").alias("sequence"), F.col("bin").alias("final"))
+    return packed.join(moved, "sequence", "left").select("item", F.coalesce("final", "sequence").alias("sequence"))
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, items_each: int = ITEMS_EACH) -> DataFrame:
