@@ -184,6 +184,12 @@ def test_line_dedup_empty_null_id_and_long(make, odd_rows):
     assert [r["text"] for r in out if r["doc_id"] == 7] == [dict(odd_rows)[7]]
 
 
+def test_line_dedup_repeated_id_loses_no_line_of_its_own(make):
+    rows = [(1, "common line here\nthe first row"), (2, "common line here\nfirst row of id two"), (2, "another unique opening\nsecond row of id two")]
+    out = sorted(r["text"] for r in line_dedup.dedup_lines(make(rows)).collect())
+    assert out == ["another unique opening\nsecond row of id two", "common line here\nthe first row", "first row of id two"]
+
+
 def test_line_dedup_query_counts(spark, sf):
     rows = QUERIES["op4_line_dedup"](spark, sf).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
