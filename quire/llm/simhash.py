@@ -18,8 +18,9 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm.common import own_columns, slices, texts, words_lower, written
 from quire.llm.components import components
@@ -29,6 +30,8 @@ SEED = 42
 #: Cost of one probe row against one candidate pair compared.
 PROBE_COST = 20.0
 MOST_PARTITIONS = 6
+#: Shingle hashes whose bits are counted at once.
+PIECE = 16_384
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -40,8 +43,10 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
     starts = [0, *ends[:-1]]
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :])] or [digest(joined, SEED)]
-    bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes(), "big", signed=True)
+    octets = np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8)
+    # in pieces: a bit takes a byte once unpacked
+    ones = sum(np.unpackbits(octets[k : k + PIECE], axis=1).sum(axis=0, dtype=np.int64) for k in range(0, len(octets), PIECE))
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -144,16 +149,33 @@ def plan(n: int, counts: np.ndarray, distance: int) -> list[int]:
 
 
 def links(distinct: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b) with a < b: all pairs of distinct fingerprints `fp` at 1 to `distance` bits."""
+    """(a, b): pairs of distinct fingerprints `fp` at 1 to `distance` bits, enough of them to connect all that any such pairs
+    connect. In a bucket each fingerprint is first compared with the smallest and with the one before it; only
+    where that leaves several components are the others compared, and across components alone, and one link
+    of a fingerprint to a component is enough."""
     n, counts = together(distinct)
     masks = plan(n, counts, distance)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(m).alias("mask")) for i, m in enumerate(signed)])
     keyed = distinct.select("fp", F.explode(slots).alias("s")).select("fp", "s.slot", F.col("fp").bitwiseAND(F.col("s.mask")).alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
-    same = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.key") == F.col("b.key"))
-    return a.join(b, same & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    place = Window.partitionBy("slot", "key").orderBy("fp")
+    before, after = F.lag("fp").over(place), F.lead("fp").over(place)
+    met = keyed.select("slot", "key", "fp", before.alias("before"), after.alias("after"), F.first("fp").over(place).alias("least"))
+    shared = written(met.where("before is not null or after is not null").drop("after"), "simhash-shared")
+
+    def near(x: str, y: str) -> Column:
+        return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+
+    tries = shared.where("before is not null").select(F.col("fp").alias("b"), F.explode(F.array("before", "least")).alias("a"))
+    first = written(tries.where(near("a", "b")).select("a", "b").distinct(), "simhash-links")
+    home = shared.join(components(first), F.col("fp") == F.col("id"), "left").select("slot", "key", "fp", F.coalesce("component", "fp").alias("c"))
+    home = written(home, "simhash-home")
+    split = home.groupBy("slot", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("slot", "key")
+    left = home.join(split, ["slot", "key"])
+    x, y = left.alias("x"), left.alias("y")
+    same = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.key") == F.col("y.key"))
+    across = x.join(y, same & (F.col("x.c") < F.col("y.c")) & near("x.fp", "y.fp")).groupBy(F.col("x.fp").alias("a"), F.col("y.c").alias("c"))
+    return first.union(across.agg(F.min("y.fp").alias("b")).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:

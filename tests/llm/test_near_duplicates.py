@@ -86,7 +86,7 @@ def test_simhash_against_brute_force(make, odd_rows, spark, sf):
 
 
 @pytest.mark.parametrize("distance", [0, 1, 2, 4, 6])
-def test_links_are_whole_for_any_distance(spark, distance):
+def test_links_connect_all_at_any_distance(spark, distance):
     rng = random.Random(distance)
     base = [rng.getrandbits(64) for _ in range(40)]
     values = set(base)
@@ -96,7 +96,21 @@ def test_links_are_whole_for_any_distance(spark, distance):
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), distance).collect()}
     mask = (1 << 64) - 1
-    assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= distance}
+    near = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= distance]
+    whole, linked = Sets(), Sets()
+    for sets, pairs in ((whole, near), (linked, got)):
+        for a, b in pairs:
+            sets.join(a, b)
+    assert got <= set(near) and {v: whole.find(v) for v in signed} == {v: linked.find(v) for v in signed}
+
+
+def test_a_crowd_of_near_fingerprints_makes_few_links(spark):
+    base = 0x0123456789ABCDEF
+    values = {base} | {base ^ (1 << i) for i in range(64)} | {base ^ (1 << i) ^ (1 << j) for i in range(8) for j in range(i + 1, 30)}
+    links = simhash.links(spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long"))
+    found = components.components(links)
+    assert len(values) > 232 and links.count() < 2000
+    assert found.count() == len(values) and found.select("component").distinct().count() == 1
 
 
 def test_thresholds_obey_the_general_pigeonhole_principle(spark):
