@@ -259,3 +259,27 @@ def test_compact_windows_partition_all_subsequences():
         for j in range(i + 4, 60):
             hold = [(left, c, right) for left, c, right in found if left <= i <= c <= j <= right]
             assert len(hold) == 1 and h[hold[0][1]] == h[i : j + 1].min()
+
+
+def test_passage_beside_looser_text_is_cut_out():
+    rng = random.Random(8)
+    ws = [f"w{i}" for i in range(200)]
+    own = list(ws)
+    own[30] = "other"
+    for k in range(66, 200, 12):
+        own[k] = f"x{k}"
+    a, b = (compact_windows.shingles([w.encode() for w in x]) for x in (["l1", "l2", *ws], ["r1", *own, "r2", "r3"]))
+    found = compact_windows.pair_passages(a, b, [(40, 39)], 46, 0.8)
+    assert len(found) == 1 and found[0][4] >= 0.8 and found[0][1] - found[0][0] >= 55
+
+
+@pytest.mark.parametrize("size", [20, 45])
+def test_partners_are_found_behind_a_phrase_all_share(make, size):
+    rng = random.Random(size)
+    phrase, rows = words(rng, size), []
+    for i in range(40):
+        passage = f"{words(rng, (60 - size) // 2)} {phrase} {words(rng, 60 - size - (60 - size) // 2)}"
+        rows += [(2 * i + k, f"{words(rng, 30)} {passage} {words(rng, 30)}") for k in range(2)]
+    got = {(r["doc_id"], r["other_doc_id"]) for r in compact_windows.passages(make(rows)).collect()}
+    missed = [i for i in range(40) if (2 * i, 2 * i + 1) not in got]
+    assert len(missed) <= 2
