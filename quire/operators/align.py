@@ -132,7 +132,7 @@ def occurrences(texts: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def first_of_similar(entries: DataFrame, keys: list[str], order: str, title: str) -> DataFrame:
-    """Entries of a group without those whose title is similar to that of an earlier one that stayed.
+    """Entries of a group without those whose title is similar to that of an earlier one that stayed; entries without a title go.
 
     First wins, one after the other, so each group (entries with one number: a handful) is gone through in order.
     """
@@ -149,4 +149,4 @@ def first_of_similar(entries: DataFrame, keys: list[str], order: str, title: str
                 sets.append(own)
         return group.loc[kept]
 
-    return entries.groupBy(*keys).applyInPandas(keep, entries.schema)
+    return entries.where(F.trim(title) != "").groupBy(*keys).applyInPandas(keep, entries.schema)

@@ -87,20 +87,20 @@ def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {PAIRS},
-c as (select conv_id, turn, round(sum(least(used, available)) / sum(used), 2) score,
+c as (select conv_id, turn, sum(least(used, available)) / sum(used) score,
   count(*) filter (available = 0 and length(word) > 2) unknown from j group by conv_id, turn)
-select conv_id, min(score) reliability, bool_or(score < 0.7) body, bool_or(unknown > 0) words,
+select conv_id, round(min(score), 2) reliability, bool_or(score < 0.7) body, bool_or(unknown > 0) words,
   string_agg(turn::varchar, ',' order by turn) filter (score < 0.7) doubtful from c group by conv_id""")
 def page_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lowest score of a conversation's turns, what is doubtful, and the turns below 0.7."""
     pairs = coverage.used_against(*_index_of(spark, sf_dir))
     score = pairs.groupBy("conv_id", "turn").agg(
-        F.round(F.sum(F.least("used", "available")) / F.sum("used"), 2).alias("score"),
+        (F.sum(F.least("used", "available")) / F.sum("used")).alias("score"),
         F.count_if((F.col("available") == 0) & (F.char_length("word") > 2)).alias("unknown"),
     )
     low = F.array_sort(F.collect_list(F.when(F.col("score") < 0.7, F.col("turn"))))
     return score.groupBy("conv_id").agg(
-        F.min("score").alias("reliability"), F.bool_or(F.col("score") < 0.7).alias("body"), F.bool_or(F.col("unknown") > 0).alias("words"),
+        F.round(F.min("score"), 2).alias("reliability"), F.bool_or(F.col("score") < 0.7).alias("body"), F.bool_or(F.col("unknown") > 0).alias("words"),
         F.nullif(F.array_join(low, ","), F.lit("")).alias("doubtful"),
     )
 
@@ -138,7 +138,24 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("s").alias("sentences"), F.coalesce(F.array_max(F.transform("s", lambda x: F.char_length(x))), F.lit(0)).alias("longest"))
 
 
-@query()
+def _rewritten(text: str, steps: tuple) -> str:
+    for find, put in steps:
+        text = f"regexp_replace({text}, '{find}', '{put}', 'g')"
+    return text
+
+
+KEPT = "|".join(text.KEPT_AFTER_HYPHEN)
+BROKEN = r"(\p{Ll})[-\x{00AD}]\s*\n\s*"
+CLEAN_STEPS = (
+    (r"!\[[^\]]*\]\([^)]*\)", " "), (r"(?m)^\s{0,3}#{1,6}\s+", ""), (r"(?m)^\s{0,3}>\s?", ""),
+    (BROKEN + rf"((?i:{KEPT}))([^\p{{L}}]|$)", r"\1- \2\3"), (BROKEN + r"(\p{L}+)", r"\1\2"), (r"\s*\n\s*", " "),
+    (r"\*{1,3}([^*\s](?:[^*]*[^*\s])?)\*{1,3}", r"\1"), (r"~~([^~\s](?:[^~]*[^~\s])?)~~", r"\1"), (r"`([^`]+?)`", r"\1"),
+    (r"(^|[^\w/])_{1,2}([^_\s](?:[^_]*[^_\s])?)_{1,2}($|[^\w/])", r"\1\2\3"), (r"\s*[→⟶➔➜▶►]+\s*$", ""), (r"\x{00A0}", " "),
+    (r"[ \t]{2,}", " "), (r"^\s+|\s+$", ""),
+)
+
+
+@query(f"select doc_id, length(t)::int n_chars, md5(t) digest from (select doc_id, {_rewritten('text', CLEAN_STEPS)} t from documents)")
 def cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned running text of each document, as its length and hash."""
     made = table(spark, sf_dir, "documents").select("doc_id", text.cleaned(F.col("text")).alias("t"))
