@@ -105,7 +105,7 @@ def place_fragments(blocks: DataFrame, fragments: DataFrame, page: str) -> DataF
 
     def place(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if asked.empty:
-            return pd.DataFrame({c: [] for c in (page, "fragment", "block", "start", "length", "how")})
+            return pd.DataFrame(columns=[page, "fragment", "block", "start", "length", "how"], index=[])
         sheet = Page([(b, t or "") for b, t in own.sort_values("block")[["block", "text"]].itertuples(index=False)])
         todo = [(f, t or "", c or "") for f, t, c in asked.sort_values("fragment")[["fragment", "text", "before"]].itertuples(index=False)]
         done = {f: sheet.in_context(t, c) for f, t, c in todo}

@@ -51,15 +51,15 @@ def pull_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.containing(quotes, table(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
-@query("""with s as (select page_id, split_part(html, '</title>', 1) t, substr(html, strpos(html, '</title>') + 8) b from pages),
+@query("""with s as (select page_id, split_part(html, '</title>', 1) t, substr(html, greatest(strpos(html, '</title>') + 8, strpos(html, '</h1>') + 5)) b from pages),
 k as (select page_id, list_distinct(regexp_extract_all(lower(regexp_extract(t, '<title>(.*)', 1, 's')), '[\\p{L}\\p{N}]+')) tw, list_distinct(regexp_extract_all(lower(b), '[\\p{L}\\p{N}]+')) bw from s),
 m as (select page_id, list_sort(list_filter(tw, lambda w: length(w) >= 3 and not list_contains(bw, w))) missing from k)
 select page_id, array_to_string(missing, ' ') missing from m where len(missing) > 0""")
 def headline_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title words of three letters or more that the page's body does not have."""
-    cut = F.instr("html", "</title>")
+    """Title words of three letters or more that the page's text after its heading does not have."""
+    cut = F.greatest(F.instr("html", "</title>") + 8, F.instr("html", "</h1>") + 5)
     title = F.regexp_extract(F.substring_index("html", "</title>", 1), r"(?s)<title>(.*)", 1)
-    body = F.when(cut > 0, F.substr("html", cut + 8)).otherwise(F.col("html"))
+    body = F.substr("html", cut)
     sets = table(spark, sf_dir, "pages").select("page_id", F.array_distinct(tokens(title)).alias("t"), F.array_distinct(tokens(body)).alias("b"))
     missing = sets.select("page_id", F.array_sort(F.filter(F.array_except("t", "b"), lambda w: F.char_length(w) >= 3)).alias("m"))
     return missing.where(F.size("m") > 0).select("page_id", F.array_join("m", " ").alias("missing"))
@@ -122,11 +122,14 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.head(F.col("text"), 40).alias("head"), text.tail(F.col("text"), 40).alias("tail"))
 
 
-@query("""with t as (select doc_id, string_split(text, ' ') w from documents where len(string_split(text, ' ')) >= 12)
-select doc_id, count(*) placed from t, range(0, 2) group by doc_id""")
+@query("""with t as (select doc_id, text, string_split(text, ' ') w from documents where len(string_split(text, ' ')) >= 12),
+f as (select doc_id, text, 0 fragment, array_to_string(w[3:5], ' ') b, array_to_string(w[6:7], ' ') f from t union all select doc_id, text, 1, array_to_string(w[8:9], ' '), array_to_string(w[10:11], ' ') from t)
+select doc_id, fragment, length(f)::int "length", (strpos(text, b || ' ' || f) + length(b))::int start from f
+where length(text) - length(replace(lower(text), lower(f), '')) = length(f)""")
 def place_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two fragments of each document of twelve words or more, its words 6-7 and 10-11 with what stands
-    before them: all are in the text, so all are placed."""
+    before them: all are in the text, so all are placed. Words
+    that come more than once are not asked for."""
     from quire.operators.placing import place_fragments as place
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text"), F.split("text", " ").alias("w")).where(F.size("w") >= 12)
@@ -135,6 +138,8 @@ def place_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(0).alias("fragment"), cut(6, 2).alias("text"), cut(3, 3).alias("before")),
         F.struct(F.lit(1).alias("fragment"), cut(10, 2).alias("text"), cut(8, 2).alias("before")),
     )
-    fragments = docs.select("doc_id", F.explode(parts).alias("f")).select("doc_id", "f.*")
+    fragments = docs.select("doc_id", F.lower("text").alias("own"), F.explode(parts).alias("f")).select("doc_id", "own", "f.*")
+    once = F.char_length("own") - F.char_length(F.replace("own", F.lower("text"), F.lit(""))) == F.char_length("text")
+    fragments = fragments.where(once).drop("own")
     placed = place(docs.select("doc_id", F.lit(0).alias("block"), "text"), fragments, "doc_id")
-    return placed.where("start is not null").groupBy("doc_id").agg(F.count("*").alias("placed"))
+    return placed.select("doc_id", "fragment", "length", "start")

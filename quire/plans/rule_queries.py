@@ -70,7 +70,7 @@ def box_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {BOXES}, u as (select page, min(x) x, min(y) y, max(x + w) x1, max(y + h) y1 from bx group by page)
-select page, x, y, x1 - x w, y1 - y h, x + (x1 - x) / 2 cx, y + (y1 - y) / 2 cy, greatest(0, least(1, (x1 - x) / 595)) filled, lpad(page::varchar, greatest(length(page::varchar), 2), '0') label from u""")
+select page, x, y, x1 - x w, y1 - y h, x + (x1 - x) / 2 cx, y + (y1 - y) / 2 cy, greatest(0, least(1, (x1 - x) / 595)) filled, lpad(page::varchar, greatest(length(page::varchar), 2)::int, '0') label from u""")
 def page_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box around all boxes of a page, its centre, and the share of the width that it fills, at most 1."""
     x1, y1 = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
@@ -163,14 +163,20 @@ def broken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.broken_off(_turn_words(spark, sf_dir, "written"), _turn_words(spark, sf_dir, "source"), ["conv_id", "turn"])
 
 
-@query(f"""with {TURNS}, g as (select conv_id, turn, string_agg(word, '' order by word) glue, count(*) n from (select * from ww anti join sw using (conv_id, turn, word)) where length(word) <= 3 group by conv_id, turn)
-select conv_id, turn, glue from g where n >= 2 and exists (select 1 from sw where sw.conv_id = g.conv_id and sw.turn = g.turn and contains(sw.word, glue))""")
+@query(f"""with {TURNS}, o as (select conv_id, turn, unnest(regexp_extract_all(lower(written), '[\\p{{L}}\\p{{N}}]+')) word, generate_subscripts(regexp_extract_all(lower(written), '[\\p{{L}}\\p{{N}}]+'), 1) ord from t),
+u as (select o.*, s.word is null lacks from o left join sw s using (conv_id, turn, word)),
+g as (select conv_id, turn, word || lead(word) over w glue, lacks and lead(lacks) over w pair from u window w as (partition by conv_id, turn order by ord))
+select distinct g.conv_id, g.turn, glue from g join sw on sw.conv_id = g.conv_id and sw.turn = g.turn and contains(sw.word, glue) where pair""")
 def compound_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short unknown words of an answer that glued together are in a word of the question."""
+    """Unknown neighbours in an answer that glued together are in a word of the question."""
     key = ["conv_id", "turn"]
     source = _turn_words(spark, sf_dir, "source").distinct()
-    unknown = _turn_words(spark, sf_dir, "written").distinct().where("char_length(word) <= 3").join(source, [*key, "word"], "left_anti")
-    glue = unknown.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("word")), "").alias("glue"), F.count("*").alias("n")).where("n >= 2")
+    pairs = turn_pairs(table(spark, sf_dir, "conversations"))
+    own = pairs.select(*key, F.posexplode(text.tokens(F.col("written"))).alias("ord", "word"))
+    told = own.join(source.withColumn("known", F.lit(True)), [*key, "word"], "left")
+    spot = Window.partitionBy(*key).orderBy("ord")
+    both = F.col("known").isNull() & F.lead("known").over(spot).isNull() & F.lead("word").over(spot).isNotNull()
+    glue = told.select(*key, F.concat("word", F.lead("word").over(spot)).alias("glue"), both.alias("both")).where("both").select(*key, "glue").distinct()
     return glue.join(source, key).where(F.contains("word", "glue")).select(*key, "glue").distinct()
 
 
@@ -185,22 +191,26 @@ def sister_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.said_elsewhere(lines, lines.withColumnRenamed("line", "sentence"), ["doc_id"])
 
 
-@query(f"""with {TURNS}, x as (select conv_id, turn, unnest(list_filter(regexp_extract_all(lower(source), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) w from t),
-y as (select conv_id, turn, unnest(list_filter(regexp_extract_all(lower(written), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) w from t),
-xs as (select conv_id, turn, w, count(*) n from x group by all), ys as (select conv_id, turn, w, count(*) have from y group by all),
-f as (select conv_id, turn, sum(least(n, coalesce(have, 0)))::bigint found, sum(n)::bigint words from xs left join ys using (conv_id, turn, w) group by conv_id, turn),
-g as (select conv_id, turn, sum(have)::bigint written from ys group by conv_id, turn),
-e as (select conv_id, turn, list_filter(list_transform(regexp_split_to_array(source, '\\n+'), lambda r: trim(regexp_replace(r, '^[#>*\\-|\\s]+', ''))), lambda r: length(r) > 20) ls,
+@query(f"""with t as (select doc_id, text source, case when doc_id % 2 = 0 then string_split(text, chr(10))[1] else lead(text) over (partition by doc_id // 2 order by doc_id desc) end written from documents),
+x as (select doc_id, unnest(list_filter(regexp_extract_all(lower(source), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) w from t),
+y as (select doc_id, unnest(list_filter(regexp_extract_all(lower(written), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) w from t),
+xs as (select doc_id, w, count(*) n from x group by all), ys as (select doc_id, w, count(*) have from y group by all),
+f as (select doc_id, sum(least(n, coalesce(have, 0)))::bigint found, sum(n)::bigint words from xs left join ys using (doc_id, w) group by doc_id),
+g as (select doc_id, sum(have)::bigint written from ys group by doc_id),
+e as (select doc_id, list_filter(list_transform(regexp_split_to_array(source, '\\n+'), lambda r: trim(regexp_replace(r, '^[#>*\\-|\\s]+', ''))), lambda r: length(r) > 20) ls,
   list_filter(regexp_extract_all(lower(written), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2) known from t)
-select conv_id, turn, words, found, coalesce(written, 0) written, case when coalesce(written, 0) >= 80 then 'extra' else 'missing' end status,
+select doc_id, words, found, coalesce(written, 0) written, case when doc_id % 50 = 0 then 'failed' when coalesce(written, 0) >= 80 then 'extra' else 'missing' end status,
   coalesce(array_to_string(list_filter(ls, lambda r: len(list_filter(regexp_extract_all(lower(r), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) >= 3
     and len(list_filter(regexp_extract_all(lower(r), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 and list_contains(known, x)))
       < 0.4 * len(list_filter(regexp_extract_all(lower(r), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2))), ' '), '') evidence
-from f left join g using (conv_id, turn) join e using (conv_id, turn) where words >= 80 and found < 0.5 * words""")
+from (select doc_id, coalesce(found, 0) found, coalesce(words, 0) words from t left join f using (doc_id)) left join g using (doc_id) join e using (doc_id) where doc_id % 50 = 0 or (words >= 80 and found < 0.5 * words)""")
 def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers as the text written from the question's page: pages of which most is not found again."""
-    pairs = turn_pairs(table(spark, sf_dir, "conversations")).withColumnRenamed("written", "text")
-    return rules.page_status(pairs.withColumn("failed", F.lit(None).cast("string")), ["conv_id", "turn"])
+    """Documents as pages: of an even one its first line was written, of an odd one the text of the one before; some failed."""
+    docs = table(spark, sf_dir, "documents")
+    two = Window.partitionBy(F.floor(F.col("doc_id") / 2)).orderBy(F.desc("doc_id"))
+    written = F.when(F.col("doc_id") % 2 == 0, F.split("text", "\n")[0]).otherwise(F.lead("text").over(two))
+    pages = docs.select("doc_id", F.col("text").alias("source"), written.alias("text"), F.when(F.col("doc_id") % 50 == 0, "time-out").alias("failed"))
+    return rules.page_status(pages, ["doc_id"])
 
 
 @query(r"""with b as (select doc_id, source, lang, ord, text, case ord % 4 when 3 then 'quote' when 2 then 'image' else 'paragraph' end kind, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) key,

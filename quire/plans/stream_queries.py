@@ -40,9 +40,11 @@ def resume_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.run_available(spark, out, "resume-dedup", "append")
 
 
-@query("select user_id, count(*) n from events group by 1 having count(*) filter (event_type = 'purchase') = 0")
+@query("select user_id * 24 + hour(ts) visit, count(*) n from events group by 1 having count(*) filter (event_type = 'purchase') = 0")
 def stream_unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = live.unfinished(live.stream(spark, sf_dir, "events"), "user_id", "event_type", "purchase")
+    """Visits (a user within an hour of the day) that ended without a purchase."""
+    visits = live.stream(spark, sf_dir, "events").withColumn("visit", F.col("user_id") * 24 + F.hour("ts"))
+    out = live.unfinished(visits, "visit", "event_type", "purchase")
     return live.run_available(spark, out, "unfinished", "complete")
 
 
