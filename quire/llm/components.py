@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed
+from quire.llm.common import written
 
 
 def _to_minimum(links: DataFrame) -> DataFrame:
@@ -17,12 +17,6 @@ def _to_minimum(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """Ties every neighbour v of u to the smallest id m around u (u itself included)."""
-    lows = checkpointed(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    return pairs.join(lows, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every id in `links(a, b)`; component is the smallest id reachable.
 
@@ -31,28 +25,21 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     set of stars. Null ends and self links are ignored; an empty table gives an empty result.
     An id that only links to itself is not returned: its component is itself.
     """
-    edges = checkpointed(_to_minimum(links.select(F.col("a").alias("u"), F.col("b").alias("v")).dropna()))
+    edges = written(_to_minimum(links.select(F.col("a").alias("u"), F.col("b").alias("v")).dropna()), "edges")
     seen = None
     for _ in range(max_rounds):
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.hash("v", "u").cast("long"))).first()
-        if mark == seen:
+        if mark == seen or mark[0] == 0:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
                 edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             )
         seen = mark
-        if mark[0] == 0:
-            continue
         # large star: around every node, larger neighbours go to the minimum
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        edges = checkpointed(
-            _to_minimum(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        )
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        edges = written(_to_minimum(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "edges")
         # small star: smaller neighbours and the node itself go to the minimum
-        low = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")))
-        edges = checkpointed(
-            _to_minimum(
-                edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-            )
-        )
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        small = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(_to_minimum(small.union(low.select("u", F.col("m").alias("v")))), "edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
