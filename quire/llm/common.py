@@ -30,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: later work starts from the files."""
+def written(df: DataFrame, name: str, by: Iterable[str] = ()) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, in folders by `by`: later work starts from the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

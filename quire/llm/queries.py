@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import compact_windows, external_shuffle, language_id, line_dedup, packing, quality_cascade, simhash, string_tiling, toxicity, wordpiece_count
+from quire.llm import (
+    compact_windows,
+    external_shuffle,
+    language_id,
+    line_dedup,
+    packing,
+    piece_bpe,
+    quality_cascade,
+    simhash,
+    string_tiling,
+    token_alignment,
+    toxicity,
+    whitening,
+    wordpiece_count,
+)
 from quire.llm.common import id_crc, table
 
 
@@ -87,6 +101,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs, vocabulary("byte_bpe_50k.json"))
 
 
+def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = vocabulary("piece_bpe_32k.model")
+    back = piece_bpe.decode(piece_bpe.encode(docs, path), path)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +135,9 @@ QUERIES = {
         op8_simhash,
         op9_toxicity,
         op10_best_fit_packing,
+        op11_piece_round_trip,
+        op12_token_alignment,
+        op13_embedding_whitening,
     )
 }
 
