@@ -42,3 +42,38 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", F.col("text").alias("written"), F.lag("text").over(spot).alias("source"), F.lag("role").over(spot).alias("before")
     )
     return rows.where("role = 'assistant' and before = 'user'").select("conv_id", "turn", "written", "source")
+
+
+def volumes(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> dict[str, DataFrame]:
+    """orders as the pages of one volume per customer, their items as the pieces on them: pages, pieces, lines (of the contents).
+
+    Kinds, failed pages, starts, titles and references come from keys and flags, so every rule has cases.
+    """
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    key = F.col("o_orderkey")
+    sheets = orders.select("o_orderkey", F.col("o_custkey").alias("owner"), F.row_number().over(order).alias("pdf")).withColumns(
+        {
+            "kind": F.when(key % 11 == 0, "advertentie").when(key % 23 == 1, "colofon").otherwise("artikel"),
+            "failed": key % 13 == 5,
+            "printed": (F.col("pdf") + F.when(F.col("pdf") <= 6, 100).otherwise(102)).cast("int"),
+            "facing": F.when(key % 4 == 0, "next").when(key % 4 == 1, "previous").otherwise("none"),
+        }
+    )
+    spot = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    items = lineitem.withColumn("ord", F.row_number().over(spot)).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = items.join(sheets, (F.col("l_orderkey") == key) & (key % 7 != 3))
+    pieces = rows.select(
+        "owner", "pdf", "ord",
+        ((F.col("l_returnflag") == "R") | (F.col("l_partkey") % 5 == 0)).alias("starts"),
+        F.when(F.col("l_partkey") % 4 != 0, F.col("p_name")).alias("title"),
+        F.when(F.col("l_suppkey") % 3 != 0, F.when(F.col("l_linenumber") == 3, F.col("p_name")).otherwise(F.col("p_type"))).alias("rubric"),
+        F.when(F.col("l_partkey") % 3 != 0, F.concat_ws(" ", "p_brand", "l_linenumber")).otherwise("").alias("about"),
+        F.when(F.col("l_quantity") >= 44, F.col("printed") + 2).alias("continues_on"),
+        F.when(F.col("l_quantity") <= 6, F.col("printed") - 2).alias("continued_from"),
+    )
+    named = rows.where((key % 3 == 0) & (F.col("ord") <= 2)).withColumn("__first", F.min_by("p_name", "ord").over(Window.partitionBy("owner", "pdf")))
+    lines = named.select(
+        "owner", (F.col("pdf") * 10 + F.col("ord")).cast("int").alias("line"), F.col("p_name").alias("title"),
+        F.when(F.col("l_suppkey") % 4 == 0, F.col("__first")).when(F.col("l_suppkey") % 4 == 1, F.col("p_type")).alias("rubric"), "printed",
+    )
+    return {"pages": sheets.drop("o_orderkey"), "pieces": pieces, "lines": lines}
