@@ -36,6 +36,7 @@ PAIR = 1 << 31
 
 _MODELS: dict[tuple[str, str], "Tokens"] = {}
 
+
 def aligned(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int, bool]]:
     """Groups of two rising lists of ends with the same last end: (from_a, to_a, from_b, to_b, single).
 
@@ -45,7 +46,9 @@ def aligned(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int, bo
     n = len(a)
     while i < n:
         at, step = i, 1
-        while at < n and a[at : at + step] == b[j + at - i : j + at - i + step]:
+        if a[i] == b[j]:
+            at, step = i + 1, 2
+        while step > 1 and at < n and a[at : at + step] == b[j + at - i : j + at - i + step]:
             at = min(at + step, n)
             step *= 2
         while step > 1 and at < n:
@@ -67,7 +70,7 @@ def aligned(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int, bo
 
 
 class Tokens:
-    """A and B tokens of texts, unit by unit: ids and byte lengths."""
+    """A and B tokens of texts, unit by unit."""
 
     def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
@@ -79,22 +82,22 @@ class Tokens:
         spelled = self.a.entry_bytes()
         self.spell_a = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
         self.spell_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int32) for x in (self.spell_a, self.spell_b))
         own = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         #: Units may be encoded each for itself if no piece has a space after another character, or a line feed at all.
         self.cut = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in own)
         self.kept = Kept()
 
     def _learn(self, new: list[str]) -> Iterator[tuple[str, tuple[bytes, ...]]]:
-        """What each unit is made of; nothing for units that a vocabulary doesn't give back."""
+        """A and B ids of each unit; nothing for units that a vocabulary doesn't give back."""
         # the space that B sets before a text stands for the first space, or goes again where there is none
         bare = [not u.startswith(" ") for u in new]
         made = self.b.encode([u if b else u[1:] for u, b in zip(new, bare)], num_threads=1)
+        spell_a, spell_b, space = self.spell_a, self.spell_b, [self.b.piece_to_id(SPACE)]
         for unit, ids, own, drop in zip(new, self.a.encode(new), made, bare):
-            own = own[1:] if drop else own or [self.b.piece_to_id(SPACE)]
-            left, right = list(map(self.spell_a.__getitem__, ids)), list(map(self.spell_b.__getitem__, own))
-            data = unit.encode("utf-8", "surrogatepass")
-            same = b"".join(left) == data == b"".join(right)
-            yield unit, tuple(array("i", x).tobytes() for x in (ids, map(len, left), own, map(len, right))) if same else ()
+            own = own[1:] if drop else own or space
+            same = b"".join([spell_a[i] for i in ids]) == unit.encode("utf-8", "surrogatepass") == b"".join([spell_b[i] for i in own])
+            yield unit, (array("i", ids).tobytes(), array("i", own).tobytes()) if same else ()
 
     def of(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[int], np.ndarray, list[int]] | None]:
         """(A ids, A ends, B ids, B ends) of each text, None where it has no tokens."""
@@ -108,8 +111,8 @@ class Tokens:
             if not found or () in found:
                 yield None
                 continue
-            ids_a, size_a, ids_b, size_b = (np.frombuffer(b"".join(c), np.int32) for c in zip(*found))
-            yield ids_a, np.cumsum(size_a).tolist(), ids_b, np.cumsum(size_b).tolist()
+            ids_a, ids_b = (np.frombuffer(b"".join(c), np.int32) for c in zip(*found))
+            yield ids_a, np.cumsum(self.size_a[ids_a]).tolist(), ids_b, np.cumsum(self.size_b[ids_b]).tolist()
         for unit, found in new.items():
             self.kept.keep(unit, found)
 

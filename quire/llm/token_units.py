@@ -15,7 +15,7 @@ _PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _BORDER = re.compile(r"(?<=\S)(?=[ \n])")
 #: Most units kept by a worker, and the longest that is kept.
-KEPT_UNITS, KEPT_CHARACTERS = 400_000, 64
+KEPT_UNITS, KEPT_CHARACTERS = 600_000, 64
 
 
 def units(text: str) -> list[str]:
@@ -26,13 +26,23 @@ def units(text: str) -> list[str]:
 
 
 class Kept(dict):
-    """A dictionary that starts anew when it is full, and doesn't keep long keys."""
+    """A dictionary for what units are made of: long keys aren't kept, and when it is full, later ones aren't
+    either, since the common ones come first. It starts anew when very many were turned away."""
+
+    def __init__(self):
+        super().__init__()
+        self.turned_away = 0
 
     def keep(self, key: str, value) -> None:
-        if len(key) <= KEPT_CHARACTERS:
-            if len(self) >= KEPT_UNITS:
-                self.clear()
+        if len(key) > KEPT_CHARACTERS:
+            return
+        if len(self) < KEPT_UNITS:
             self[key] = value
+            return
+        self.turned_away += 1
+        if self.turned_away > 10 * KEPT_UNITS:
+            self.clear()
+            self.turned_away = 0
 
 
 class ByteVocabulary:
