@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import accent_marks, tokens, unaccented
-from quire.sources.shared import checkpointed
+from quire.operators.unknown_words import nearest_in_order
 
 
 def best_lines(sentences: DataFrame, lines: DataFrame, sentence_key: str, line_keys: list[str], least: int = 3, share: float = 0.5) -> DataFrame:
@@ -70,59 +70,35 @@ def respellings(words: DataFrame, word: str = "word", least: int = 3) -> DataFra
     return odd.join(known.where("n = 1"), "bare").where("marks = m").select("word", "correction")
 
 
-def near_words(suspects: DataFrame, source: DataFrame, key: str, most: int = 2) -> DataFrame:
-    """(key, word, near, edits): each suspect takes the closest source word of its key, one to one.
+def near_words(suspects: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """(key, word, near, edits): each suspect takes the closest source word of its key that none before it took.
 
-    Greedy by edits, then order: a pair stands if it is the best of both its words; the
-    pairs left are looked at again until none is. Candidates share a length within `most` and a first
-    or last letter, which join instead of all pairs. Suspects that are left take the closest unused source
-    word of their key at any distance. Both sides have (key, word, ord).
+    Suspects go in order, and of equally close words the first is taken, so a key is one ordered fold over the arrays of its
+    words (a sentence or a page). Both sides have (key, word, ord).
     """
-    ends = F.array_distinct(F.array(F.concat(F.lit("a"), F.left("word", F.lit(1))), F.concat(F.lit("z"), F.right("word", F.lit(1)))))
-    a = suspects.select(key, F.col("word"), F.col("ord").alias("o"))
-    b = source.select(key, F.col("word").alias("near"), F.col("ord").alias("p"), ends.alias("ends"))
-    edits = F.levenshtein("word", "near", most)
-    left = a.withColumn("e", F.explode(ends)).join(b.withColumn("e", F.explode("ends")), [key, "e"])
-    left = left.where(F.abs(F.char_length("word") - F.char_length("near")) <= most).withColumn("edits", edits)
-    first = _paired(left.where("edits >= 0").select(key, "word", "o", "near", "p", "edits").distinct(), key)
-    a = a.join(first.select(key, "word", "o"), [key, "word", "o"], "left_anti")
-    b = b.drop("ends").join(first.select(key, "near", "p"), [key, "near", "p"], "left_anti")
-    far = a.join(b, key).withColumn("edits", F.levenshtein("word", "near"))
-    found = first.union(_paired(far.select(key, "word", "o", "near", "p", "edits").distinct(), key))
-    return found.select(key, "word", "near", "edits")
-
-
-def _paired(left: DataFrame, key: str) -> DataFrame:
-    """The greedy one-to-one choice from pairs (key, word, o, near, p, edits): best of both words, until none is left."""
-    best = lambda side: F.row_number().over(Window.partitionBy(key, *side).orderBy("edits", "o", "p"))
-    left = checkpointed(left)
-    out = left.limit(0)
-    while left.limit(1).count():
-        marked = left.withColumn("x", best(["word", "o"])).withColumn("y", best(["near", "p"]))
-        won = checkpointed(marked.where("x = 1 and y = 1").select(key, "word", "o", "near", "p", "edits"))
-        out = out.union(won)
-        left = left.join(won.select(key, "word", "o"), [key, "word", "o"], "left_anti").join(won.select(key, "near", "p"), [key, "near", "p"], "left_anti")
-        left = checkpointed(left)
-    return checkpointed(out)
-
-
-def containing(quotes: DataFrame, texts: DataFrame, quote_key: str, text_key: str) -> DataFrame:
-    """(quote_key, text_key): for each quote the first text that contains it, word for word.
+    listed = lambda df, name: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word"))), lambda x: x["word"]).alias(name))
+    both = listed(suspects, "suspects").join(listed(source, "others"), key)
+    pairs = both.select(key, F.explode(nearest_in_order(F.col("suspects"), F.array_distinct("others"))).alias("p"))
+    return pairs.select(key, "p.word", "p.near", "p.edits")
+
+
+def containing(quotes: DataFrame, texts: DataFrame, quote_key: str, text_key: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """(on, quote_key, text_key): for each quote the first text, of the same `on`, that contains it, word for word.
 
     A text that contains a quote has all its inner words, so both meet on the quote's rarest inner word
     (or its first, if it has no inner one) and the containment is tested on these pairs. Both have `text`.
     """
     ws = tokens(F.col("text"))
     inner = F.when(F.size(ws) > 2, F.slice(ws, F.lit(2), F.size(ws) - 2)).otherwise(ws)
-    asked = quotes.select(quote_key, F.col("text").alias("__quote"), F.explode(F.array_distinct(inner)).alias("__w"))
-    known = asked.select("__w").distinct()
-    index = texts.select(text_key, F.explode(F.array_distinct(ws)).alias("__w")).join(F.broadcast(known) if _small(known) else known, "__w")
-    rarity = index.groupBy("__w").agg(F.count("*").alias("__df"))
-    probe = asked.join(rarity, "__w").groupBy(quote_key, "__quote").agg(F.min_by("__w", F.struct("__df", "__w")).alias("__w"), F.count("*").alias("__n"))
-    whole = asked.groupBy(quote_key).agg(F.count("*").alias("__all"))  # a word that no text has rules the quote out
-    probe = probe.join(whole, quote_key).where("__n = __all").select(quote_key, "__quote", "__w")
-    met = probe.join(index, "__w").join(texts.select(text_key, "text"), text_key).where(F.contains("text", "__quote"))
-    return met.groupBy(quote_key).agg(F.min(text_key).alias(text_key))
+    asked = quotes.select(*on, quote_key, F.col("text").alias("__quote"), F.explode(F.array_distinct(inner)).alias("__w"))
+    known = asked.select(*on, "__w").distinct()
+    index = texts.select(*on, text_key, F.explode(F.array_distinct(ws)).alias("__w")).join(F.broadcast(known) if _small(known) else known, [*on, "__w"])
+    rarity = index.groupBy(*on, "__w").agg(F.count("*").alias("__df"))
+    probe = asked.join(rarity, [*on, "__w"]).groupBy(*on, quote_key, "__quote").agg(F.min_by("__w", F.struct("__df", "__w")).alias("__w"), F.count("*").alias("__n"))
+    whole = asked.groupBy(*on, quote_key).agg(F.count("*").alias("__all"))  # a word that no text has rules the quote out
+    probe = probe.join(whole, [*on, quote_key]).where("__n = __all").select(*on, quote_key, "__quote", "__w")
+    met = probe.join(index, [*on, "__w"]).join(texts.select(*on, text_key, "text"), [*on, text_key]).where(F.contains("text", "__quote"))
+    return met.groupBy(*on, quote_key).agg(F.min(text_key).alias(text_key))
 
 
 def occurrences(texts: DataFrame, key: str, text: Column) -> DataFrame:

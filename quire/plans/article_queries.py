@@ -25,9 +25,11 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""with {PAGES}, p as (select "owner", pdf, printed = 1 starts, case when printed = 4 then pdf - 6 end fr from pg),
-r as (select *, sum(starts::int) over (partition by "owner" order by pdf rows unbounded preceding) run from p)
-select a."owner", a.pdf::int pdf, coalesce(b.run, a.run)::bigint article from r a left join r b on a."owner" = b."owner" and a.fr = b.pdf and not a.starts""")
+@query(f"""with {PAGES}, p as materialized (select "owner", pdf, printed = 1 starts, case when printed = 4 then pdf - 6 end fr from pg),
+r as materialized (select *, sum(starts::int) over (partition by "owner" order by pdf rows unbounded preceding) run from p),
+j as materialized (select "owner", pdf, fr from r where fr is not null and not starts),
+h as (select j."owner", j.pdf, r.run there from j join r on r."owner" = j."owner" and r.pdf = j.fr)
+select r."owner", r.pdf::int pdf, coalesce(there, run)::bigint article from r left join h on h."owner" = r."owner" and h.pdf = r.pdf""")
 def stitch_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume pages to articles: number 1 opens one, number 4 goes on from six pages before."""
     pieces = numbered_pages(table(spark, sf_dir, "lineitem")).select(
@@ -115,6 +117,24 @@ def near_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.near_words(one(suspects).select("k", "word", "ord"), one(source.where("char_length(word) > 3")).select("k", "word", "ord"), "k")
 
 
+@query()
+def unknown_word_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with words that the question before lacks, each with the question's line in its stead."""
+    from quire.operators.unknown_words import unknown_word_findings as found
+
+    return found(turn_pairs(table(spark, sf_dir, "conversations")), ["conv_id", "turn"], "written", "source")
+
+
+@query()
+def changed_word_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read twice: each word of seven letters or more that ends a line has its third letter doubled in the written text."""
+    from quire.operators.unknown_words import unknown_word_findings as found
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source"))
+    written = F.regexp_replace("source", r"(?m)(\b\p{L}{2})(\p{L})(\p{L}{4,}\P{L}*)$", "$1$2$2$3")
+    return found(docs.withColumn("written", written), ["doc_id"], "written", "source")
+
+
 @query("select doc_id, case when length(text) > 40 then left(text, 40) || '…' else text end head, case when length(text) > 40 then '…' || right(text, 40) else text end tail from documents")
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.functions import text

@@ -269,15 +269,31 @@ def moved_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {BLOCKS}, s as (select bk.*, case when qty < 10 then ord + 1 + part % 3 end src from bk), k as (select page, max(ord) last from bk group by page),
 q as (select s.*, case when src <= last then src end source from s join k using (page))
-select page, row_number() over (partition by page order by case when source > ord then source else ord end, coalesce(source > ord, false), ord)::bigint - 1 ord, part, qty from q""")
+select page, row_number() over (partition by page order by case when source > ord then source else ord end, coalesce(source > ord, false), case when source > ord then -ord else ord end)::bigint - 1 ord, part, qty from q""")
 def pulls_after_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small blocks as quotes that go right behind their source."""
+    """Small blocks as quotes that go right behind their source, the last of several first."""
     rows = _blocks(spark, sf_dir)
     last = rows.groupBy("page").agg(F.max("ord").alias("last"))
     pulls = rows.where("qty < 10").join(last, "page").select("page", "ord", "last", (F.col("ord") + 1 + F.col("part") % 3).alias("source")).where("source <= last")
     return rules.after_source(rows, pulls.select("page", "ord", "source"), "page")
 
 
+KEY = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@query(f"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 ord, unnest(string_split(text, chr(10))) t from documents),
+k as (select doc_id, ord, {KEY.format("t")} k from l), e as (select doc_id, arg_max(k, ord) k from k where k <> '' group by 1),
+q as (select doc_id, array_to_string(string_split(k, ' ')[2:7], ' ') q from e)
+select q.doc_id, min(k.ord)::bigint source from q join k on k.doc_id = q.doc_id and contains(k.k, q.q) where length(q) >= 12 group by 1""")
+def quote_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document six words of its last line as a quote, and the first line that holds them."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"), F.lit("paragraph").alias("kind"))
+    keyed = lines.withColumn("k", text.compare_key(F.col("text"))).where("k <> ''").groupBy("doc_id").agg(F.max_by("k", "ord").alias("k"))
+    quotes = keyed.select("doc_id", F.lit(-1).alias("ord"), F.array_join(F.slice(F.split("k", " "), 2, 6), " ").alias("text"), F.lit("quote").alias("kind"))
+    found = rules.quote_sources(lines.union(quotes.select(*lines.columns)), "doc_id")
+    return found.select("doc_id", F.col("source").cast("long").alias("source"))
+
+
 @query("""with a as (select s_suppkey asset, s_name || '.png' file from supplier), i as (select p_partkey image, case when p_partkey % 3 = 0 then 'none.png' else 'Supplier#' || lpad((p_partkey % 1000)::varchar, 9, '0') || '.png' end file from part)
 select image, i.file, coalesce(a.asset, b.asset) asset from i left join a using (file) left join a b on b.asset = i.image""")
 def asset_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
