@@ -1,9 +1,10 @@
 """Operator 10: best-fit packing of tokenised documents by hierarchical residual packing.
 
 Documents become token ids, are cut into pieces of at most `capacity`, and the pieces are packed
-into sequences of that size: every partition packs its items best-fit, largest first, which leaves it
-at most one bin that is half full or less. Fuller bins can't join each other, so one small last task
-packs those few and the bins that could take them. Only lengths travel after the first pass.
+into sequences of that size: every partition packs its items best-fit, largest first, sends its nearly full
+bins out and is left with at most one bin that is half full or less. Fuller bins can't join each other, so a tree of
+merges, `FAN_IN` shares to a group, packs those few with the bins that could take them, as items, until one group
+is left: a task's rows depend on the fan-in and the capacity alone. Only lengths travel after the first pass.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.llm.common import own_columns, slices, texts, written
+from quire.llm.token_units import byte_letters
 
 CAPACITY = 2048
 #: Ends each document (fixed value).
@@ -28,24 +31,21 @@ ID_BYTES = 4
 ITEMS_EACH = 200_000
 #: A bin with at most this many free places is sent out before the last round.
 NEARLY_FULL = 16
+#: Shares, or groups of them, that one merge takes.
+FAN_IN = 8
+#: One text of so many is encoded by both libraries.
+COMPARED = 64
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
-def _byte_letters() -> dict[str, int]:
-    """Letters that byte-level vocabularies write bytes with: printable Latin-1 bytes stand for
-    themselves, the others for the letters from U+0100 on, in order."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
-
-
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes; the ids are those of `tokenizers`.
 
     The vocabulary file's own entries also drive a `tiktoken` encoder, about six times as fast on
-    the same vocabulary. Both are compared on a probe when the file is opened, and if they differ only
-    `tokenizers` is used; so it is for texts that hold the string of a special token.
+    the same vocabulary. Both are compared on a probe when the file is opened and, in every batch, on the texts
+    whose crc32 is divisible by `COMPARED`; if they ever differ, that batch and all later ones are encoded by `tokenizers` alone. So
+    are texts that hold the string of a special token.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: byte-level pre-tokens
@@ -64,7 +64,7 @@ class Encoder:
     def _quick(self):
         import tiktoken
 
-        letters = _byte_letters()
+        letters = byte_letters()
         try:
             ranks = {bytes(letters[c] for c in w): i for w, i in self.model.get_vocab(with_added_tokens=False).items() if w not in self.special}
             made = tiktoken.Encoding("byte-level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -72,11 +72,18 @@ class Encoder:
             return None
         return made.encode_ordinary if made.encode_ordinary(self.PROBE) == self._plain(self.PROBE) else None
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        ids = self._plain(text) if self.quick is None or any(s in text for s in self.special) else self.quick(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _ids(self, text: str) -> list[int]:
+        return self._plain(text) if self.quick is None or any(s in text for s in self.special) else self.quick(text)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text of a batch; null and empty texts have none."""
+        made = [self._ids(t) if t else [] for t in texts]
+        if self.quick is not None:
+            checked = [(t, ids) for t, ids in zip(texts, made) if t and zlib.crc32(t.encode()) % COMPARED == 0]
+            if any(self._plain(t) != ids for t, ids in checked):
+                self.quick = None
+                return self.encode(texts)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in made]
 
 
 def encoder(path: str) -> Encoder:
@@ -106,8 +113,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
         for batch in slices(batches):
             out: list[list] = [[], [], [], [], [], []]
             keys, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
-            for key, row, text in zip(keys, rows, texts(batch)):
-                data = coder.encode(text) + end
+            for key, row, ids in zip(keys, rows, coder.encode(texts(batch))):
+                data = ids + end
                 for k, (start, length) in enumerate(cut(len(data) // ID_BYTES, capacity)):
                     crc = zlib.crc32(data[start * ID_BYTES : (start + length) * ID_BYTES])
                     for column, value in zip(out, (key, row, k, start, length, crc)):
@@ -147,59 +154,83 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
-def _round(items: DataFrame, parts: int, number: int, capacity: int, spare: int) -> DataFrame:
-    """(item, size, bin, used, done): one best-fit round over `parts` shares of (item, size)."""
+_ROUND = "item string, size long, bin string, used long, done boolean, share long"
+
+
+def _placed(rows: pa.Table, share: int, number: int, capacity: int, spare: int) -> pa.Table:
+    """(item, size, bin, used, done, share): one best-fit round over the rows (item, size) of one share."""
+    order = rows.sort_by([("size", "descending"), ("item", "ascending")])  # arrival order must not matter
+    names, sizes = order["item"].to_pylist(), order["size"].to_pylist()
+    placed = best_fit(sizes, capacity)
+    used: dict[int, int] = {}
+    head: dict[int, str] = {}
+    for name, size, b in zip(names, sizes, placed):
+        used[b] = used.get(b, 0) + size
+        head.setdefault(b, name)
+    return pa.table(
+        {
+            "item": pa.array(names, pa.string()),
+            "size": pa.array(sizes, pa.int64()),
+            "bin": pa.array([f"{number}:{head[b]}" for b in placed], pa.string()),
+            "used": pa.array([used[b] for b in placed], pa.int64()),
+            "done": pa.array([capacity - used[b] <= spare for b in placed], pa.bool_()),
+            "share": pa.array([share] * len(names), pa.int64()),
+        }
+    )
+
+
+def _shares(items: DataFrame, parts: int, capacity: int, spare: int) -> DataFrame:
+    """The first round: items (item, size) dealt to `parts` shares, each packed for itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows)
-        order = table.sort_by([("size", "descending"), ("item", "ascending")])  # arrival order must not matter
-        names, sizes = order["item"].to_pylist(), order["size"].to_pylist()
-        placed = best_fit(sizes, capacity)
-        used: dict[int, int] = {}
-        head: dict[int, str] = {}
-        for name, size, b in zip(names, sizes, placed):
-            used[b] = used.get(b, 0) + size
-            head.setdefault(b, name)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(names, pa.string()),
-                pa.array(sizes, pa.int64()),
-                pa.array([f"{number}:{head[b]}" for b in placed], pa.string()),
-                pa.array([used[b] for b in placed], pa.int64()),
-                pa.array([capacity - used[b] <= spare for b in placed], pa.bool_()),
-            ],
-            names=["item", "size", "bin", "used", "done"],
-        )
+        if rows:
+            yield from _placed(pa.Table.from_batches(rows), TaskContext.get().partitionId(), 0, capacity, spare).to_batches()
 
     dealt = items.repartition(parts, "item") if parts > 1 else items.coalesce(1)
-    return dealt.mapInArrow(run, "item string, size long, bin string, used long, done boolean")
+    return dealt.mapInArrow(run, _ROUND)
+
 
+def _merge(bins: DataFrame, number: int, capacity: int, spare: int, fan_in: int) -> DataFrame:
+    """One level of the tree: `fan_in` shares of open bins (item, size, share) become one, packed as items.
 
-def pack(sized: DataFrame, capacity: int = CAPACITY, items_each: int = ITEMS_EACH) -> DataFrame:
+    A share has at most one bin that is half full or less, so a group has `fan_in` such bins, and of each fill it needs no more
+    than that many bins to take them: at most fan_in * capacity / 2 rows are packed together.
+    """
+    grouped = bins.withColumn("share", F.floor(F.col("share") / fan_in))
+    small = grouped.where(2 * F.col("size") <= capacity)
+    place = F.row_number().over(Window.partitionBy("share", "size").orderBy("item"))
+    takers = grouped.where(2 * F.col("size") > capacity).withColumn("place", place).where(F.col("place") <= fan_in).drop("place")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        return _placed(rows, key[0].as_py(), number, capacity, spare)
+
+    return small.union(takers).groupBy("share").applyInArrow(run, _ROUND)
+
+
+def pack(sized: DataFrame, capacity: int = CAPACITY, items_each: int = ITEMS_EACH, fan_in: int = FAN_IN) -> DataFrame:
     """(item, bin) for all rows (item string, size long) with 1 <= size <= capacity; items differ.
 
     Shares of about `items_each` items are packed each for itself. At most one bin of a share is half full or
-    less (two would have been one), and fuller bins can't be joined: what is left to do is to place these few
-    bins. The last task gets them and, of each fill that leaves room, as many bins as there are of them: never
-    more than shares x capacity / 2 rows, whatever the sizes are.
+    less (two would have been one), and fuller bins can't be joined: what is left to do is to place these few bins, which
+    a tree of merges does level by level, `fan_in` groups to one.
     """
     parts = max(1, -(-sized.count() // items_each))
-    step = written(_round(sized.select("item", "size"), parts, 0, capacity, NEARLY_FULL), "packing")
+    step = written(_shares(sized.select("item", "size"), parts, capacity, NEARLY_FULL), "packing")
     packed = step.select("item", F.col("bin").alias("sequence"))
-    if parts == 1:
-        return packed
-    bins = written(step.where("not done").groupBy("bin").agg(F.max("used").alias("size")).select(F.col("bin").alias("item"), "size"), "packing-open")
-    small = bins.where(2 * F.col("size") <= capacity)
-    few, least = small.agg(F.count("*"), F.min("size")).first()
-    if not few:
+    left = step.agg(F.max("share")).first()[0] if parts > 1 else 0
+    moved, number = None, 0
+    while left:
+        bins = step.where("not done").groupBy("bin").agg(F.max("used").alias("size"), F.max("share").alias("share"))
+        number += 1
+        step = written(_merge(bins.withColumnRenamed("bin", "item"), number, capacity, NEARLY_FULL, fan_in), "packing")
+        level = step.select(F.col("item").alias("sequence"), F.col("bin").alias("final"))
+        # bins of a level were bins of the level before, so the moves follow each other
+        later = level.select(F.col("sequence").alias("final"), F.col("final").alias("next"))
+        moved = level if moved is None else moved.join(later, "final", "left").select("sequence", F.coalesce("next", "final").alias("final"))
+        left //= fan_in
+    if moved is None:
         return packed
-    place = F.row_number().over(Window.partitionBy("size").orderBy("item"))
-    takers = bins.where((2 * F.col("size") > capacity) & (F.col("size") <= capacity - least)).withColumn("place", place).where(F.col("place") <= few)
-    last = written(_round(small.union(takers.select("item", "size")), 1, 1, capacity, NEARLY_FULL), "packing")
-    moved = last.select(F.col("item").alias("sequence"), F.col("bin").alias("final"))
     return packed.join(moved, "sequence", "left").select("item", F.coalesce("final", "sequence").alias("sequence"))
 
 
