@@ -13,6 +13,7 @@ piece spans a U+2581 after another character, so texts are cut there and parts m
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate, chain
 from math import inf
@@ -26,6 +27,8 @@ from quire.llm.token_units import Kept
 
 #: The mark of a space, what an unknown id decodes to, and what a stray byte decodes to.
 SPACE, UNKNOWN_TEXT, STRAY = "▁", " ⁇ ", "�"
+#: In place of a token: a character in no piece, and nothing.
+FOREIGN, NONE = -1, -2
 #: Most token pairs whose check a worker keeps.
 KEPT_PAIRS = 500_000
 
@@ -55,17 +58,20 @@ class PieceModel:
             else:
                 self.id[piece], self.score[piece] = i, model.get_score(i)
                 self.text.append(piece)
-                found.add_word(piece[::-1], len(piece))
+                found.add_word(piece[::-1], i)
         found.make_automaton()
         self.found = found
+        self.pieces = [t if isinstance(t, str) else "" for t in self.text]
+        self.size = list(map(len, self.pieces))
+        self.shorter: list[int | None] = [None] * len(self.pieces)
         known = set(chain.from_iterable(self.id))
         #: Pieces hold U+2581 only in front, so texts can be cut there; a line feed in no piece is a cut as well.
         alone = "" if "\n" in known else r"\n"
         cut = not any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.parts = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|{alone or '(?!)'}" if cut else r"(?s).+")
         self.kept = Kept()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.shorter: dict[str, int] = {}
+        self.pairs: list[dict[int, bool]] = [{} for _ in range(len(self.pieces) + 1)]  # by the left token; the last for none
+        self.checked = 0
         self.spell = [t.replace(SPACE, " ").encode() if isinstance(t, str) else bytes([t]) if isinstance(t, int) else b"" for t in self.text]
 
     def merged(self, text: str) -> list[str]:
@@ -82,70 +88,89 @@ class PieceModel:
                 ranks[k] = score(pieces[k] + pieces[k + 1], none)
         return pieces
 
-    def apart(self, left: str, right: str) -> bool:
-        """Whether the two tokens stay as they are when their text is merged again."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
-
-    def next_shorter(self, token: str) -> int:
-        """Length of the longest piece that is a proper prefix of the token; a single character has none: 0."""
-        n = self.shorter.get(token)
-        if n is None:
-            n = self.shorter[token] = next((k for k in range(len(token) - 1, 0, -1) if k == 1 or token[:k] in self.id), 0)
-        return n
-
-    def tokens(self, part: str) -> list[str]:
-        """Pieces, or characters in no piece, of a part that starts and ends where tokens do."""
+    def apart(self, left: int, right: int) -> bool:
+        """Whether the two tokens stay as they are when their text is merged again; `left` may be NONE."""
+        self.checked += 1
+        if self.checked % KEPT_PAIRS == 0:
+            for known in self.pairs:
+                known.clear()
+        both = [self.pieces[left], self.pieces[right]] if left != NONE else [self.pieces[right]]
+        stays = self.pairs[max(left, -1)][right] = self.merged("".join(both)) == both
+        return stays
+
+    def next_shorter(self, token: int) -> int:
+        """The longest piece that is a proper prefix of the token; FOREIGN if that is a character in no piece, NONE for single characters."""
+        if token == FOREIGN:
+            return NONE
+        if self.shorter[token] is None:
+            piece = self.pieces[token]
+            found = (self.id[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.id)
+            self.shorter[token] = next(found, FOREIGN if len(piece) > 1 else NONE)
+        return self.shorter[token]
+
+    def tokens(self, part: str) -> list[int]:
+        """Pieces of a part that starts and ends where tokens do; FOREIGN for characters in no piece."""
         n = len(part)
-        longest = [1] * n
-        at = -1
-        for end, size in self.found.iter(part[::-1]):
-            if end != at:  # the longest piece of each place comes first
-                at = end
-                longest[n - 1 - end] = size
-        failed = bytearray(n // 8 + 1)  # a bit for each place
-        out: list[str] = []
-        at, size = 0, longest[0]
+        found = list(self.found.iter(part[::-1]))
+        found.reverse()  # the longest piece of each place comes first, so the last one written here
+        longest = dict(found)
+        failed = None  # a bit for each place, once one failed
+        pairs, shorter, sizes = self.pairs, self.shorter, self.size
+        out: list[int] = []
+        at, token, last = 0, longest.get(n - 1, FOREIGN), NONE
+        known = pairs[-1]
         while at < n:
-            last = out[-1] if out else ""
-            while size:
-                end = at + size
-                token = part[at:end]
-                if not failed[end >> 3] >> (end & 7) & 1 and self.apart(last, token):
-                    break
-                size = self.next_shorter(token)
-            if size:
+            while token >= 0:
+                end = at + sizes[token]
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    stays = known.get(token)
+                    if self.apart(last, token) if stays is None else stays:
+                        break
+                less = shorter[token]
+                token = self.next_shorter(token) if less is None else less
+            if token == FOREIGN:  # nothing merges with it
+                end = at + 1
+                if failed is not None and failed[end >> 3] >> (end & 7) & 1:
+                    token = NONE
+            if token != NONE:
                 out.append(token)
-                at = end
-                size = longest[at] if at < n else 0
+                at, last = end, token if token >= 0 else NONE
+                token = longest.get(n - 1 - at, FOREIGN) if at < n else NONE
             else:  # nothing fits after `last`: back to where it began, with something shorter
+                failed = failed or bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(last)
-                size = self.next_shorter(out.pop())
+                gone = out.pop()
+                at -= sizes[gone] if gone >= 0 else 1
+                token = self.next_shorter(gone)
+                last = out[-1] if out and out[-1] >= 0 else NONE
+            known = pairs[max(last, -1)]
         return out
 
-    def part_ids(self, part: str) -> tuple[int, ...]:
-        ids = self.kept.get(part)
-        if ids is None:
-            made: list[int] = []
-            for token in self.tokens(part):
-                known = self.id.get(token)
-                made += [known] if known is not None else [self.byte[b] for b in token.encode("utf-8", "surrogatepass")]
-            ids = tuple(made)
-            self.kept.keep(part, ids)
-        return ids
+    def part_ids(self, part: str) -> bytes:
+        """Ids of a part as 32-bit numbers."""
+        ids = self.tokens(part)
+        if FOREIGN in ids:
+            at, whole = 0, []
+            for i in ids:
+                whole += [i] if i >= 0 else map(self.byte.__getitem__, part[at].encode("utf-8", "surrogatepass"))
+                at += self.size[i] if i >= 0 else 1
+            ids = whole
+        made = array("i", ids).tobytes()
+        self.kept.keep(part, made)
+        return made
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a whole text as 32-bit numbers; null and empty texts have none."""
+        if not text:
+            return b""
+        parts = self.parts.findall(SPACE + text.replace(" ", SPACE))
+        found = list(map(self.kept.get, parts))
+        if None in found:
+            found = [self.kept.get(p) or self.part_ids(p) if ids is None else ids for p, ids in zip(parts, found)]
+        return b"".join(found)
 
     def encode(self, text: str | None) -> list[int]:
-        """Ids of a whole text; null and empty texts have none."""
-        if not text:
-            return []
-        part_ids = self.part_ids
-        return list(chain.from_iterable([part_ids(p) for p in self.parts.findall(SPACE + text.replace(" ", SPACE))]))
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int] | None) -> str:
         """Text of ids: U+2581 is a space, the space before the text goes, bytes that are no UTF-8 are U+FFFD each."""
@@ -181,21 +206,34 @@ def lists(rows: list[list[int]], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(rows), np.int64, ends[-1])).cast(kind))
 
 
+def _encoded(docs: DataFrame, vocabulary: str, decoded: bool) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = model(vocabulary)
+        for batch in slices(batches):
+            rows = [coder.packed(t) for t in texts(batch)]
+            ends = np.cumsum([0, *map(len, rows)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+            columns = {"doc_id": batch.column("doc_id"), "ids": ids}
+            if decoded:
+                columns["text"] = pa.array([coder.decode(np.frombuffer(r, np.int32).tolist()) for r in rows], pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return own_columns(docs, ("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, ids array<int>{', text string' if decoded else ''}")
+
+
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids array<int>), one row for each row of `docs`; only doc_id and text are read.
 
     Null and empty texts give an empty array; repeated and null ids are kept as they are; an
     empty table gives an empty one. Texts of any length are encoded whole.
     """
+    return _encoded(docs, vocabulary, False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = model(vocabulary)
-        for batch in slices(batches):
-            rows = [coder.encode(t) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(rows, pa.int32())], names=["doc_id", "ids"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return own_columns(docs, ("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, ids, text): `decode(encode(docs))` in one pass; `text` is what the ids decode to."""
+    return _encoded(docs, vocabulary, True)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

@@ -103,9 +103,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = vocabulary("piece_bpe_32k.model")
-    back = piece_bpe.decode(piece_bpe.encode(docs, path), path)
-    return back.select(
+    return piece_bpe.round_trip(docs, vocabulary("piece_bpe_32k.model")).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
