@@ -59,8 +59,8 @@ def delta_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with j as (select doc_id, '{"lang":"' || coalesce(lang, '') || '"' a, ',"source":"' || coalesce(source, '') || '"' b, ',"n_chars":' || coalesce(n_chars, 0) || '}' c from documents)
-select doc_id, (length(a) - 1) // 7 seq, 'lang' field, '"' || substr(a, 10) "value" from j union all select doc_id, (length(a || b) - 1) // 7, 'source', substr(b, 11) from j
-union all select doc_id, (length(a || b || c) - 1) // 7, 'n_chars', replace(substr(c, 12), '}', '') from j""".replace("""'"' || substr(a, 10)""", "substr(a, 9)"))
+select doc_id, (length(a) - 1) // 7 seq, 'lang' field, substr(a, 9) "value" from j union all select doc_id, (length(a || b) - 1) // 7, 'source', substr(b, 11) from j
+union all select doc_id, (length(a || b || c) - 1) // 7, 'n_chars', replace(substr(c, 12), '}', '') from j""")
 def partial_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's head as JSON that comes in pieces of seven characters: its fields as they end."""
     docs = live.stream(spark, sf_dir, "documents")
@@ -74,7 +74,7 @@ def partial_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""with p as (select conv_id, turn page, coalesce(text, '') text from conversations where role = 'user'),
 m as (select conv_id, turn - 1 page, regexp_extract(text, '(\p{L}+)', 1) find from conversations where role <> 'user')
-select p.conv_id, p.page, md5(p.text) digest, case when contains(p.text, find) then find else '' end marks from p left join m using (conv_id, page)""".replace("\\", "\"))
+select p.conv_id, p.page, md5(p.text) digest, case when contains(p.text, find) then find else '' end marks from p left join m using (conv_id, page)""")
 def live_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as pages and the first words of the answers as pieces to be marked on them, as one live state."""
     turns = live.stream(spark, sf_dir, "conversations")
