@@ -60,6 +60,60 @@ def passage_runs(hits: DataFrame, key: str, n: int = 8) -> DataFrame:
     return runs.agg(F.min("i").alias("start"), F.min("first").alias("first"), (F.count("*") + n - 1).alias("length")).select(key, "start", "first", "length")
 
 
+_PASSAGES = "struct<until: int, seen: array<struct<h: bigint, i: int>>, told: array<bigint>, out: array<struct<start: int, first: int, length: int>>>"
+
+
+def repeated_passages(docs: DataFrame, key: str, text: Column, n: int = 8) -> DataFrame:
+    """(key, start, first, length, passage): passages of n words or more that the text had before, n words earlier or more.
+
+    The text is read once from front to back: a window of n words is compared with its first reading; a passage goes on as long as
+    both readings do and don't overlap, what was told isn't told again, and reading goes on behind a passage. `passage` is spelt as in
+    the text. Each text decides for itself, so nothing is shuffled; only windows that occur more than once are gone through.
+    """
+    words = docs.select(key, text.alias("text"), tokens(text).alias("t")).where(F.size("t") >= 2 * n)
+    grams = F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: F.struct(F.xxhash64(F.array_join(F.slice("t", i + 1, n), " ")).alias("h"), i.cast("int").alias("i")))
+    # a generator between the steps: what is worked out below it isn't worked out again for each use above
+    ordered = words.select(key, "text", "t", F.explode(F.array(F.array_sort(grams))).alias("g"))
+    beside = lambda x, k: (F.get("g", k - 1)["h"] == x["h"]) | (F.get("g", k + 1)["h"] == x["h"])
+    again = F.filter("g", lambda x, k: F.coalesce(beside(x, k), F.lit(False)))
+    back = F.array_sort(F.transform(again, lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h"))))
+    twice = ordered.select(key, "text", "t", F.explode(F.array(back)).alias("w")).where(F.size("w") > 0)
+    empty = F.from_json(F.lit('{"until": 0, "seen": [], "told": [], "out": []}'), _PASSAGES)
+
+    def step(s: Column, w: Column) -> Column:
+        first = F.get(F.filter(s["seen"], lambda x: x["h"] == w["h"]), F.lit(0))["i"]
+        return F.struct(s.alias("s"), w.alias("w"), first.alias("first"))
+
+    def measured(x: Column) -> Column:
+        w, first = x["w"], x["first"]
+        new = (w["i"] - first >= n) & ~F.array_contains(x["s"]["told"], w["h"])
+        most = F.least(F.size("t") - w["i"], w["i"] - first)
+        differs = F.array_position(F.transform(F.sequence(F.lit(n), F.greatest(most, F.lit(n))), lambda k: (k < most) & (F.get("t", first + k) == F.get("t", w["i"] + k))), False)
+        return F.struct(x["s"].alias("s"), w.alias("w"), first.alias("first"), F.when(new, (n - 1 + differs).cast("int")).alias("length"))
+
+    def settle(x: Column) -> Column:
+        s, w, first, length = x["s"], x["w"], x["first"], x["length"]
+        inside = F.filter("w", lambda o: (o["i"] >= w["i"]) & (o["i"] <= w["i"] + length - n))
+        told = F.struct(
+            (w["i"] + length).alias("until"), s["seen"].alias("seen"), F.concat(s["told"], F.transform(inside, lambda o: o["h"])).alias("told"),
+            F.array_append(s["out"], F.struct(w["i"].alias("start"), first.alias("first"), length.alias("length"))).alias("out"),
+        )
+        seen = F.struct(s["until"].alias("until"), F.array_append(s["seen"], F.struct(w["h"].alias("h"), w["i"].alias("i"))).alias("seen"), s["told"].alias("told"), s["out"].alias("out"))
+        return F.when(w["i"] < s["until"], s).when(first.isNull(), seen.cast(_PASSAGES)).when(length.isNull(), s).otherwise(told.cast(_PASSAGES))
+
+    bound = lambda value, make: F.get(F.transform(F.array(value), make), F.lit(0))
+    fold = F.aggregate("w", empty, lambda s, w: bound(bound(step(s, w), measured), settle), lambda s: s["out"])
+    found = twice.select(key, "text", F.explode(fold).alias("p"))
+    return found.select(key, "p.*", original_spelling(F.col("text"), F.col("p.start"), F.col("p.length")).alias("passage"))
+
+
+def original_spelling(text: Column, start: Column, length: Column) -> Column:
+    """The part of a text that `length` words from word number `start` (from 0) on make, with its capitals and marks."""
+    words = F.slice(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), start + 1, length)
+    between = F.slice(F.split(text, r"[\p{L}\p{N}]+"), start + 2, F.greatest(length - 1, F.lit(0)))
+    return F.array_join(F.zip_with(words, between, lambda w, b: F.concat(w, F.coalesce(b, F.lit("")))), "")
+
+
 def respellings(words: DataFrame, word: str = "word", least: int = 3) -> DataFrame:
     """(word, correction): a word with accents whose letters have one other known spelling, with as
     many accents. Words that the known spellings hold themselves stay; `words` has (word, known boolean)."""

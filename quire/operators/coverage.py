@@ -30,19 +30,28 @@ def used_against(written: DataFrame, index: DataFrame, key: list[str]) -> DataFr
     return used.join(index.withColumnRenamed("n", "available"), [*key, "word"], "left").fillna(0, ["available"])
 
 
-def index_check(written: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
-    """Per key: used, backed, score (1 without words), numbers of unknown (3 letters or more, 40 at
-    most are kept) and overused words (20 at most)."""
+def _for_all(found: DataFrame, owners: DataFrame | None, key: list[str], score: str) -> DataFrame:
+    """`found` with a row for owners that have none: nothing counted, and a score of 1."""
+    if owners is None:
+        return found
+    counts = [c for c in found.columns if c not in (*key, score)]
+    return owners.select(*key).join(found, key, "left").fillna(0, counts).fillna(1.0, [score])
+
+
+def index_check(written: DataFrame, index: DataFrame, key: list[str], owners: DataFrame | None = None) -> DataFrame:
+    """Per key: used, backed, score, numbers of unknown (3 letters or more, 40 at most are kept) and overused words (20 at
+    most). Keys of `owners` that have no words score 1."""
     pairs = used_against(written, index, key)
     unknown = (F.col("available") == 0) & (F.char_length("word") > 2)
     over = (F.col("available") > 0) & (F.col("used") > F.col("available"))
-    return pairs.groupBy(*key).agg(
+    found = pairs.groupBy(*key).agg(
         F.sum("used").alias("used"),
         F.sum(F.least("used", "available")).alias("backed"),
         F.round(F.sum(F.least("used", "available")) / F.sum("used"), 6).alias("score"),
         F.least(F.count_if(unknown), F.lit(KEEP_UNKNOWN)).alias("n_unknown"),
         F.least(F.count_if(over), F.lit(KEEP_OVERUSED)).alias("n_overused"),
     )
+    return _for_all(found, owners, key, "score")
 
 
 def top_overused(written: DataFrame, index: DataFrame, key: list[str], k: int = KEEP_OVERUSED) -> DataFrame:
@@ -59,13 +68,15 @@ def first_unknown(written: DataFrame, index: DataFrame, key: list[str], k: int =
     return lacking.withColumn("rank", F.row_number().over(spot)).where(F.col("rank") <= k).select(*key, "word", "rank")
 
 
-def recall(written: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:
-    """(key..., words, found, recall): how much of the index, words of two letters or more, the written text has."""
+def recall(written: DataFrame, index: DataFrame, key: list[str], owners: DataFrame | None = None) -> DataFrame:
+    """(key..., words, found, recall): how much of the index, words of two letters or more, the written text has. Keys of
+    `owners` without such words have all."""
     have = written.groupBy(*key, "word").agg(F.count("*").alias("have"))
     pairs = index.where("char_length(word) >= 2").join(have, [*key, "word"], "left").fillna(0, ["have"])
-    return pairs.groupBy(*key).agg(
+    found = pairs.groupBy(*key).agg(
         F.sum("n").alias("words"), F.sum(F.least("n", "have")).alias("found"), F.round(F.sum(F.least("n", "have")) / F.sum("n"), 6).alias("recall")
     )
+    return _for_all(found, owners, key, "recall")
 
 
 def agreement(written: DataFrame, index: DataFrame, key: list[str]) -> DataFrame:

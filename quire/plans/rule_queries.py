@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import text
 from quire.operators import rules
+from quire.operators import type_styles as type_styles_of
 from quire.sources.tables import boxes, table, turn_pairs
 
 QUERIES: dict = {}
@@ -121,15 +122,38 @@ def type_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.face_runs(_pieces(spark, sf_dir), "page", "piece", "font")
 
 
-@query(f"""with {PIECES}, b as (select page, size, row_number() over (partition by page order by sum(length(text)) desc, size) k from pc group by page, size),
-f as (select pc.page, font, sum(length(text))::bigint weight from pc join b on b.page = pc.page and k = 1 and abs(pc.size - b.size) <= 0.6 group by pc.page, font)
-select page, font, weight from f qualify row_number() over (partition by page order by weight desc, font desc) = 1""")
+BODY = """b as (select page, size, row_number() over (partition by page order by sum(length(trim(text))) desc, size) k from pc group by page, size),
+f as (select pc.page, b.size, font, sum(length(trim(text)))::bigint weight, min(piece) seen from pc join b on b.page = pc.page and k = 1 and abs(pc.size - b.size) <= 0.6 group by pc.page, b.size, font),
+bf as (select page, size, font, weight from f qualify row_number() over (partition by page order by weight desc, seen) = 1)"""
+
+
+@query(f"with {PIECES}, {BODY} select page, font, weight from bf")
 def body_face(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The font with most characters among the pieces set in the size of the running text."""
-    pieces = _pieces(spark, sf_dir)
-    body = rules.commonest(pieces, "page", "size", F.char_length("text")).select(F.col("page").alias("p"), F.col("size").alias("body"))
-    near = pieces.join(body, F.col("page") == F.col("p"))
-    return rules.commonest(near, "page", "font", F.char_length("text"), F.abs(F.col("size") - F.col("body")) <= 0.6)
+    return type_styles_of.body_faces(_pieces(spark, sf_dir), "page", "piece").select("page", "font", "weight")
+
+
+#: Cuts that stand-in fonts are given by their part's number.
+CUTS = ("Light", "Roman", "SemiBold", "BoldItalic", "ExtraLight", "Heavy", "MediumOblique", "Book", "Thin", "DemiKursiv")
+CUT = "[" + ", ".join(f"'{c}'" for c in CUTS) + "]"
+WEIGHT = """case when regexp_matches({0}, '(?i)black|heavy|fat|ultra[^l]|ultra$') then 90 when regexp_matches({0}, '(?i)extrabold|ultrabold') then 80
+ when regexp_matches({0}, '(?i)semib|demib|semi|demi') then 60 when regexp_matches({0}, '(?i)bold') then 70 when regexp_matches({0}, '(?i)medium') then 50 when regexp_matches({0}, '(?i)book') then 45
+ when regexp_matches({0}, '(?i)extralight|ultralight') then 20 when regexp_matches({0}, '(?i)light') then 30 when regexp_matches({0}, '(?i)thin|hairline') then 10 else 40 end"""
+
+
+@query(f"""with {PIECES.replace("p_brand font", f"'F' || p_partkey % 3 || '-' || {CUT}[p_partkey // 3 % 10 + 1] font")}, {BODY}
+select pc.page, piece, case when {WEIGHT.format("pc.font")} >= 70 or (split_part(pc.font, '-', 1) = split_part(bf.font, '-', 1) and abs(pc.size - bf.size) <= greatest(0.5, bf.size * 0.1)
+  and {WEIGHT.format("pc.font")} > {WEIGHT.format("bf.font")}) then 'bold ' else '' end || case when regexp_matches(pc.font, '(?i)italic|oblique|kursiv') then 'italic' else '' end styles
+from pc left join bf using (page)""")
+def type_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces in cuts of three families, as bold or italic against the face of their own page."""
+    parts = table(spark, sf_dir, "lineitem").withColumn("piece", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long"))
+    cut = F.element_at(F.array(*map(F.lit, CUTS)), (F.floor(F.col("l_partkey") / 3) % 10 + 1).cast("int"))
+    fonts = parts.select(F.col("l_orderkey").alias("page"), "piece", F.concat(F.lit("F"), F.col("l_partkey") % 3, F.lit("-"), cut).alias("cut"))
+    pieces = _pieces(spark, sf_dir).join(fonts, ["page", "piece"]).withColumn("font", F.col("cut")).drop("cut")
+    made = type_styles_of.styled(pieces, "page", "piece")
+    shown = F.concat(F.when(F.array_contains("styles", "bold"), "bold ").otherwise(""), F.when(F.array_contains("styles", "italic"), "italic").otherwise(""))
+    return made.select("page", "piece", shown.alias("styles"))
 
 
 @query(f"""with {PIECES}, c as (select page, colour, count(*) n from pc group by page, colour),
@@ -191,25 +215,30 @@ def sister_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.said_elsewhere(lines, lines.withColumnRenamed("line", "sentence"), ["doc_id"])
 
 
-@query(f"""with t as (select doc_id, text source, case when doc_id % 2 = 0 then string_split(text, chr(10))[1] else lead(text) over (partition by doc_id // 2 order by doc_id desc) end written from documents),
-x as (select doc_id, unnest(list_filter(regexp_extract_all(lower(source), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) w from t),
-y as (select doc_id, unnest(list_filter(regexp_extract_all(lower(written), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) w from t),
-xs as (select doc_id, w, count(*) n from x group by all), ys as (select doc_id, w, count(*) have from y group by all),
+WORDS = "list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)"
+
+
+@query(f"""with t as (select doc_id, text source, regexp_replace(text, '[*#_~`]+', '', 'g') clean, case when doc_id % 2 = 0 then string_split(text, chr(10))[1] else lead(text) over (partition by doc_id // 2 order by doc_id desc) end written from documents),
+x as (select doc_id, unnest({WORDS.format("source")}) w, 1 a, 0 b from t union all select doc_id, unnest({WORDS.format("clean")}), 0, 1 from t),
+y as (select doc_id, unnest({WORDS.format("written")}) w from t),
+xs as (select doc_id, w, greatest(sum(a), sum(b)) n from x group by doc_id, w), ys as (select doc_id, w, count(*) have from y group by all),
 f as (select doc_id, sum(least(n, coalesce(have, 0)))::bigint found, sum(n)::bigint words from xs left join ys using (doc_id, w) group by doc_id),
-g as (select doc_id, sum(have)::bigint written from ys group by doc_id),
-e as (select doc_id, list_filter(list_transform(regexp_split_to_array(source, '\\n+'), lambda r: trim(regexp_replace(r, '^[#>*\\-|\\s]+', ''))), lambda r: length(r) > 20) ls,
-  list_filter(regexp_extract_all(lower(written), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2) known from t)
-select doc_id, words, found, coalesce(written, 0) written, case when doc_id % 50 = 0 then 'failed' when coalesce(written, 0) >= 80 then 'extra' else 'missing' end status,
-  coalesce(array_to_string(list_filter(ls, lambda r: len(list_filter(regexp_extract_all(lower(r), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) >= 3
-    and len(list_filter(regexp_extract_all(lower(r), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 and list_contains(known, x)))
-      < 0.4 * len(list_filter(regexp_extract_all(lower(r), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2))), ' '), '') evidence
-from (select doc_id, coalesce(found, 0) found, coalesce(words, 0) words from t left join f using (doc_id)) left join g using (doc_id) join e using (doc_id) where doc_id % 50 = 0 or (words >= 80 and found < 0.5 * words)""")
+g as (select doc_id, sum(have)::bigint written from ys where w not in ('image', 'crop', 'img', 'insert', 'continues', 'previous') group by doc_id),
+l as (select doc_id, i, r from (select doc_id, unnest(ls) r, generate_subscripts(ls, 1) i from (select doc_id, list_transform(regexp_split_to_array(source, '\\n+'), lambda r: trim(regexp_replace(r, '^[#>*\\-|\\s]+', ''))) ls from t)) where length(r) > 20),
+lw as (select doc_id, i, unnest({WORDS.format("r")}) w from l),
+k as (select doc_id, i from lw left join ys using (doc_id, w) group by doc_id, i having count(*) >= 3 and count(have) < 0.4 * count(*)),
+e as (select doc_id, string_agg(r, ' ' order by i) ev from l join k using (doc_id, i) group by doc_id), a as (select doc_id, string_agg(r, ' ' order by i) every from l group by doc_id),
+z as (select doc_id, coalesce(words, 0) words, coalesce(found, 0) found, coalesce(g.written, 0) written, trim(regexp_replace(coalesce(nullif(ev, ''), every, ''), '\\s+', ' ', 'g')) ev from t left join f using (doc_id) left join g using (doc_id) left join e using (doc_id) left join a using (doc_id))
+select doc_id, words, found, written, case when doc_id % 50 = 0 then 'failed' when written >= 80 then 'extra' else 'missing' end status,
+  case when length(ev) <= 260 then ev else regexp_replace(left(ev, 260), '\\s+\\S*$', '') || '…' end evidence
+from z where doc_id % 50 = 0 or (words >= 80 and found < 0.5 * words)""")
 def page_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages: of an even one its first line was written, of an odd one the text of the one before; some failed."""
     docs = table(spark, sf_dir, "documents")
     two = Window.partitionBy(F.floor(F.col("doc_id") / 2)).orderBy(F.desc("doc_id"))
     written = F.when(F.col("doc_id") % 2 == 0, F.split("text", "\n")[0]).otherwise(F.lead("text").over(two))
-    pages = docs.select("doc_id", F.col("text").alias("source"), written.alias("text"), F.when(F.col("doc_id") % 50 == 0, "time-out").alias("failed"))
+    clean = F.regexp_replace("text", "[*#_~`]+", "")
+    pages = docs.select("doc_id", F.col("text").alias("source"), clean.alias("clean"), written.alias("text"), F.when(F.col("doc_id") % 50 == 0, "time-out").alias("failed"))
     return rules.page_status(pages, ["doc_id"])
 
 

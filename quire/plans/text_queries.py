@@ -49,10 +49,11 @@ def _index_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, l
 select conv_id, turn, sum(used)::bigint used, sum(least(used, available))::bigint backed,
   round(sum(least(used, available)) / sum(used), 6) score,
   least(count(*) filter (available = 0 and length(word) > 2), 40)::bigint n_unknown,
-  least(count(*) filter (available > 0 and used > available), 20)::bigint n_overused from j group by conv_id, turn""")
+  least(count(*) filter (available > 0 and used > available), 20)::bigint n_overused from j group by conv_id, turn
+union all select conv_id, turn, 0, 0, 1.0, 0, 0 from t where (conv_id, turn) not in (select (conv_id, turn) from j)""")
 def index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     written, index, key = _index_of(spark, sf_dir)
-    out = coverage.index_check(written, index, key)
+    out = coverage.index_check(written, index, key, turn_pairs(table(spark, sf_dir, "conversations")))
     return out.withColumns({c: F.col(c).cast("long") for c in ("n_unknown", "n_overused")})
 
 
@@ -74,9 +75,10 @@ def unknown_first40(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {PAIRS}
 select conv_id, turn, sum(n)::bigint words, sum(least(n, coalesce(used, 0)))::bigint found, round(sum(least(n, coalesce(used, 0))) / sum(n), 6) recall
-from i left join u using (conv_id, turn, word) where length(word) >= 2 group by conv_id, turn""")
+from i left join u using (conv_id, turn, word) where length(word) >= 2 group by conv_id, turn
+union all select conv_id, turn, 0, 0, 1.0 from t where (conv_id, turn) not in (select (conv_id, turn) from i where length(word) >= 2)""")
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.recall(*_index_of(spark, sf_dir))
+    return coverage.recall(*_index_of(spark, sf_dir), turn_pairs(table(spark, sf_dir, "conversations")))
 
 
 @query(f"""with {PAIRS}
@@ -252,6 +254,12 @@ def duplicate_passage_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("doc_id", F.col("start").cast("int").alias("start"), F.col("first").cast("int").alias("first"), F.col("length").cast("long").alias("length"))
 
 
+@query()
+def duplicate_passage_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of eight words or more that a document has twice, as it prints them."""
+    return align.repeated_passages(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+
+
 SPELL = f"""w as (select lang, unnest({TOKENS.format('text')}) word from documents),
 f as (select word, count(*) >= 5 known from w group by word having length(word) >= 3),
 b as (select word, known, translate(word, '{FROM}', '{TO}') bare, length(regexp_replace(word, '[^{FROM}]', '', 'g')) marks from f),
