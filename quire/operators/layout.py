@@ -40,21 +40,61 @@ def touching(boxes: DataFrame, page: str, ident: str, gap: float) -> DataFrame:
 
 
 def groups(boxes: DataFrame, page: str, ident: str, gap: float) -> DataFrame:
-    """(page, ident, group): components of touching boxes; group is the smallest ident.
+    """(page, ident, group): components of touching boxes; group is the smallest ident."""
+    return _components(touching(boxes, page, ident, gap), boxes, page, ident)
 
-    Pages are small and many: a page's components settle by taking the smallest neighbour label, all pages
-    at once, until nothing changes.
-    """
-    links = touching(boxes, page, ident, gap)
+
+def _components(links: DataFrame, boxes: DataFrame, page: str, ident: str) -> DataFrame:
+    """(page, ident, group) from links (page, a, b): all pages at once take the smallest label around them, and then that label's own
+    label, so that a chain of n boxes settles in about log n rounds."""
     both = checkpointed(links.union(links.select(page, F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = boxes.select(page, F.col(ident).alias("a"), F.col(ident).alias("g"))
     while True:
         nearest = both.join(labels.select(page, F.col("a").alias("b"), F.col("g").alias("ng")), [page, "b"]).groupBy(page, "a").agg(F.min("ng").alias("ng"))
-        step = labels.join(nearest, [page, "a"], "left").select(page, "a", F.least("g", F.coalesce("ng", "g")).alias("g"), (F.col("ng") < F.col("g")).alias("moved"))
-        step = checkpointed(step)
-        labels = step.select(page, "a", "g")
+        step = checkpointed(labels.join(nearest, [page, "a"], "left").select(page, "a", F.least("g", F.coalesce("ng", "g")).alias("g"), (F.col("ng") < F.col("g")).alias("moved")))
         if step.where("moved").limit(1).count() == 0:
-            return labels.select(page, F.col("a").alias(ident), F.col("g").alias("group"))
+            return step.select(page, F.col("a").alias(ident), F.col("g").alias("group"))
+        jump = step.select(page, F.col("a").alias("g"), F.col("g").alias("further"))
+        labels = checkpointed(step.join(jump, [page, "g"]).select(page, "a", F.col("further").alias("g")))
+
+
+#: Of the larger line's height: how far runs of one block may be apart, down and across.
+LINE_DOWN, LINE_ACROSS = 0.9, 0.8
+
+
+def adjacent_runs(runs: DataFrame, page: str, ident: str, cell: float = 64.0) -> DataFrame:
+    """(page, a, b), each pair once: runs of text (x, y, w, h, chars) on the same line or the next that overlap or nearly so across.
+
+    The larger run reaches out by its own measure, so pairs meet in grid cells of `cell` points: the cells of what the larger
+    one reaches and of the smaller one itself. A pair counts in the cell where both begin to overlap alone. Runs without characters or
+    size are none.
+    """
+    usable = runs.where("chars > 0 and w > 0 and h > 0").select(page, ident, "x", "y", "w", "h")
+    at = lambda c: F.floor(c / cell)
+
+    def celled(df: DataFrame, name: str, across: Column, down: Column) -> DataFrame:
+        x0, x1, y0, y1 = F.col("x") - across, F.col("x") + F.col("w") + across, F.col("y") - down, F.col("y") + F.col("h") + down
+        grid = df.select(page, F.col(ident).alias(name), F.struct("x", "y", "w", "h", x0.alias("x0"), y0.alias("y0")).alias(f"{name}_"), F.explode(F.sequence(at(x0), at(x1))).alias("cx"), F.sequence(at(y0), at(y1)).alias("cys"))
+        return grid.select(page, name, f"{name}_", "cx", F.explode("cys").alias("cy"))
+
+    big = celled(usable, "a", F.col("h") * LINE_ACROSS, F.col("h") * LINE_DOWN)
+    small = celled(usable, "b", F.lit(0.0), F.lit(0.0))
+    met = big.join(small, [page, "cx", "cy"])
+    larger = (F.col("a_.h") > F.col("b_.h")) | ((F.col("a_.h") == F.col("b_.h")) & (F.col("a") < F.col("b")))
+    gap = lambda c, size: F.greatest(f"a_.{c}", f"b_.{c}") - F.least(F.col(f"a_.{c}") + F.col(f"a_.{size}"), F.col(f"b_.{c}") + F.col(f"b_.{size}"))
+    near = (gap("y", "h") <= F.col("a_.h") * LINE_DOWN) & (gap("x", "w") <= F.col("a_.h") * LINE_ACROSS)
+    here = (F.col("cx") == at(F.greatest("a_.x0", "b_.x0"))) & (F.col("cy") == at(F.greatest("a_.y0", "b_.y0")))
+    return met.where(larger & near & here).select(page, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def text_blocks(runs: DataFrame, page: str, ident: str, cell: float = 64.0) -> DataFrame:
+    """(page, block, runs, x, y, w, h, chars): runs that sit together as one box each; `block` is the smallest ident."""
+    usable = runs.where("chars > 0 and w > 0 and h > 0")
+    home = _components(adjacent_runs(runs, page, ident, cell), usable, page, ident).withColumnRenamed("group", "block")
+    made = usable.join(home, [page, ident]).groupBy(page, "block").agg(
+        F.count("*").alias("runs"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"), F.sum("chars").alias("chars")
+    )
+    return made.select(page, "block", "runs", "x", "y", (F.col("x1") - F.col("x")).alias("w"), (F.col("y1") - F.col("y")).alias("h"), "chars")
 
 
 def mosaics(boxes: DataFrame, page: str, ident: str, gap: float, least: int = 3, largest_share: float = 0.6) -> DataFrame:

@@ -139,6 +139,18 @@ def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.mosaics(boxes(table(spark, sf_dir, "lineitem")), "page", "box", 1.5)
 
 
+@query(f"""with recursive {BOXES}, rn as (select page, box, x, y, w, 6 + box % 5 * 4.0 h, (w // 3)::bigint chars from bx where w // 3 > 0),
+tc as (select a.page, a.box a, b.box b from rn a join rn b on a.page = b.page and a.box <> b.box and greatest(a.y, b.y) - least(a.y + a.h, b.y + b.h) <= greatest(a.h, b.h) * 0.9
+  and greatest(a.x, b.x) - least(a.x + a.w, b.x + b.w) <= greatest(a.h, b.h) * 0.8),
+rc(page, a, r) as (select page, box, box from rn union select rc.page, rc.a, tc.b from rc join tc on rc.page = tc.page and rc.r = tc.a),
+gr as (select page, a box, min(r) block from rc group by all)
+select page, block, count(*) runs, min(x) x, min(y) y, max(x + w) - min(x) w, max(y + h) - min(y) h, sum(chars)::bigint chars from gr join rn using (page, box) group by page, block""")
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as runs of text of five sizes: the blocks they make."""
+    runs = boxes(table(spark, sf_dir, "lineitem")).withColumns({"h": (6 + F.col("box") % 5 * 4).cast("double"), "chars": F.floor(F.col("w") / 3).cast("long")})
+    return layout.text_blocks(runs, "page", "box")
+
+
 @query("""with s as (select l_suppkey, round(l_quantity / 5) / 2 size, sum(l_linenumber)::bigint weight from lineitem group by all)
 select l_suppkey, size, weight from (select *, row_number() over (partition by l_suppkey order by weight desc, size) r from s) where r = 1""")
 def body_size(spark: SparkSession, sf_dir: str) -> DataFrame:
