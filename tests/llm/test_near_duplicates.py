@@ -283,3 +283,21 @@ def test_partners_are_found_behind_a_phrase_all_share(make, size):
     got = {(r["doc_id"], r["other_doc_id"]) for r in compact_windows.passages(make(rows)).collect()}
     missed = [i for i in range(40) if (2 * i, 2 * i + 1) not in got]
     assert len(missed) <= 2
+
+
+def test_no_passage_is_lost_between_others_under_its_minima(make, monkeypatch):
+    """Texts that share a phrase and, some of them, a passage around it: all pairs, then classes where the phrase is a crowd."""
+    rng = random.Random(12)
+    rows, groups = [], {}
+    phrase = words(rng, 24)
+    for i in range(12):
+        left, right = words(rng, 20).split(), words(rng, 20).split()
+        for k in range(3):
+            own = list(left) if k < 2 else [*left[:10], "x", *left[11:]]
+            groups[3 * i + k] = 3 * i
+            rows.append((3 * i + k, f"{words(rng, 20)} {' '.join(own)} {phrase} {' '.join(right)} {words(rng, 20)}"))
+    out = compact_windows.passages(make(rows)).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in out} == {(a, b) for a in groups for b in groups if a != b and groups[a] == groups[b]}
+    monkeypatch.setattr(compact_windows, "CROWD", 3)
+    out = compact_windows.passages(make(rows)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == groups
