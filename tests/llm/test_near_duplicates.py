@@ -301,3 +301,31 @@ def test_no_passage_is_lost_between_others_under_its_minima(make, monkeypatch):
     monkeypatch.setattr(compact_windows, "CROWD", 3)
     out = compact_windows.passages(make(rows)).collect()
     assert {r["doc_id"]: r["class_id"] for r in out} == groups
+
+
+def test_a_text_goes_once_to_the_pairs_of_a_phrase(make, monkeypatch):
+    """40 texts with one phrase and no passage: 780 pairs are compared, of few pieces of text."""
+    rng = random.Random(14)
+    phrase, rows = words(rng, 40), []
+    for i in range(40):
+        rows.append((i, f"{words(rng, 60)} {phrase} {words(rng, 60)}"))
+    rows += [(100, f"{words(rng, 9)} {rows[0][1]}")]
+    compared, sent = [], []
+    frame, write = type(make([])), compact_windows.written
+
+    def arrow(self, func, schema, *more, f=frame.mapInArrow):
+        out = f(self, func, schema, *more)
+        if func.__name__ == "cut":
+            sent.append(out.count())
+        return out
+
+    def counted(df, name, by=()):
+        out = write(df, name, by)
+        if name == "passage-pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", arrow)
+    monkeypatch.setattr(compact_windows, "written", counted)
+    got = {(r["doc_id"], r["other_doc_id"]) for r in compact_windows.passages(make(rows)).collect()}
+    assert got == {(0, 100), (100, 0)} and sum(compared) >= 500 and sum(sent) <= 8 * len(rows)
