@@ -2,12 +2,13 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quire.llm import compact_windows, components, line_dedup, simhash
+from quire.llm import common, compact_windows, components, line_dedup, simhash
 from quire.llm.queries import QUERIES
 
 from tests.llm.conftest import words
@@ -38,6 +39,14 @@ def test_components_against_union_find(spark, seed):
     assert got == {x: sets.find(x) for p in pairs if p[0] != p[1] for x in p}
 
 
+def test_components_keep_one_table(spark):
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("edges-*"))
+    found = components.components(spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert found.count() == 301 and found.where("id <> component and component <> 0").count() == 0
+    assert len(set(folder.glob("edges-*")) - before) == 1
+
+
 def test_components_empty(spark):
     assert components.components(spark.createDataFrame([(None, 3), (4, 4)], "a long, b long")).count() == 0
 
