@@ -242,6 +242,15 @@ def test_passages_are_found(make):
     assert spans[4, 5] == (50, 130) and spans[5, 4] == (33, 113)
 
 
+def test_passages_leave_no_table_that_the_result_does_not_read(make, spark):
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("passage*"))
+    rows = passage_fixture()
+    out = compact_windows.passages(make(rows))
+    left = {p.name.rpartition("-")[0] for p in set(folder.glob("passage*")) - before}
+    assert left == {"passages", "passage-homes", "passage-classes"} and out.count()
+
+
 def test_passages_of_many_documents(make):
     rng = random.Random(6)
     shared = words(rng, 64)
