@@ -30,7 +30,7 @@ def slots(events: DataFrame, queue: str, arrival: Column, order: list[str], gap:
     start_i = max(arrival_i, start_(i-1) + gap) is i * gap plus the running maximum of arrival - i * gap.
     """
     spot = Window.partitionBy(queue).orderBy("__at", *order)
-    numbered = events.withColumn("__at", arrival).withColumn("__i", F.row_number().over(spot) - 1)
+    numbered = events.withColumn("__at", arrival).withColumn("__i", (F.row_number().over(spot) - 1).cast("long"))
     lead = F.max(F.col("__at") - F.col("__i") * gap).over(spot.rowsBetween(Window.unboundedPreceding, 0))
     return numbered.withColumn("starts_at", F.col("__i") * gap + lead).drop("__at", "__i")
 

@@ -91,6 +91,12 @@ def test_slots(spark):
     assert [x[1] for x in rows(ops_log.slots(df, "q", F.col("a"), ["i"], 1000), "i", "starts_at")] == [0, 1000, 5000, 6000, 20000]
 
 
+def test_slots_of_a_long_queue(spark):
+    df = spark.range(3000).selectExpr("'q' as q", "id as i", "cast(0 as bigint) as a")
+    last = ops_log.slots(df, "q", F.col("a"), ["i"], 1_000_000).agg(F.max("starts_at")).first()[0]
+    assert last == 2999 * 1_000_000
+
+
 def test_retry(spark):
     cols = "k string, a int, used int, unknown int, over int"
     data = [("x", 0, 100, 8, 2), ("x", 1, 85, 0, 0), ("y", 0, 100, 8, 2), ("y", 1, 95, 8, 1)]
