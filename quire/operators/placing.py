@@ -35,6 +35,17 @@ def whole_words(text: str, needle: str) -> list[int]:
     ]
 
 
+def behind(text: str, lead: list[str], needle: str) -> list[int]:
+    """Places where `needle` stands whole behind the words of `lead`, whatever white space is between them."""
+    pattern = r"\s+".join(map(re.escape, [*lead, ""]))
+    found = [(m.start(), m.end(1)) for m in re.finditer(f"(?=({pattern}){re.escape(needle)})", text)]
+    return [
+        at for i, at in found
+        if not (lead[0][0].isalnum() and i and text[i - 1].isalnum())
+        and not (needle and needle[-1].isalnum() and at + len(needle) < len(text) and text[at + len(needle)].isalnum())
+    ]
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Levenshtein distance, or most + 1 if it is larger."""
     row = list(range(len(b) + 1))
@@ -64,12 +75,11 @@ class Page:
         """Behind the longest ending of `before`, from whole to its last word, that has LOOSE letters."""
         words = before.split()
         for k in range(len(words)):
-            lead = " ".join(words[k:]) + " "
-            if letters(lead) < LOOSE:
+            if letters(" ".join(words[k:])) < LOOSE:
                 return None
             for block, body, _ in self.blocks:
-                for i in whole_words(body, lead + text):
-                    if found := self.take(block, i + len(lead), len(text), "context"):
+                for i in behind(body, words[k:], text):
+                    if found := self.take(block, i, len(text), "context"):
                         return found
         return None
 

@@ -169,3 +169,14 @@ def test_place_fragments(spark):
     f = spark.createDataFrame(asked, "page int, fragment int, text string, before string")
     got = rows(place_fragments(b, f, "page"), "page", "fragment", "block", "start", "how")
     assert got == [(1, 0, 0, 14, "context"), (1, 1, 1, 4, "alone"), (1, 2, 1, 20, "near"), (1, 3, None, None, None), (1, 4, None, None, None), (2, 0, None, None, None)]
+
+
+def test_context_goes_on_over_line_ends(spark):
+    from quire.operators.placing import place_fragments
+
+    text = "Hij zag de kat.\nDe de de hond"  # accents and case aside, "de de" begins at "De" too
+    b = spark.createDataFrame([(1, 0, text)], "page int, block int, text string")
+    f = spark.createDataFrame([(1, 0, "de de", "de kat.\nDe")], "page int, fragment int, text string, before string")
+    assert rows(place_fragments(b, f, "page"), "start", "how") == [(text.index("de de"), "context")]
+    f = spark.createDataFrame([(1, 0, "de de", "zag de kat. De")], "page int, fragment int, text string, before string")
+    assert rows(place_fragments(b, f, "page"), "start", "how") == [(text.index("de de"), "context")]
