@@ -23,16 +23,20 @@ def numbered_pages(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(F.col("l_suppkey").alias("owner"), F.row_number().over(order).alias("pdf"), F.col("l_linenumber").alias("printed"))
 
 
-def boxes(lineitem: DataFrame) -> DataFrame:
-    """lineitem as boxes on one page per order: (page, box, x, y, w, h), all whole numbers."""
-    return lineitem.select(
+def boxes(lineitem: DataFrame, *first: str) -> DataFrame:
+    """lineitem, as read from its files, as boxes on one page per order: (page, box, x, y, w, h), all whole numbers.
+
+    Of lines that repeat their number the one with the smallest `first` counts, then the one that is written first.
+    """
+    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*first, "_metadata.file_path", "_metadata.row_index")
+    return lineitem.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(
         F.col("l_orderkey").alias("page"),
         F.col("l_linenumber").cast("long").alias("box"),
         (F.col("l_partkey") % 97 * 5).cast("double").alias("x"),
         (F.col("l_suppkey") % 89 * 7).cast("double").alias("y"),
         (F.col("l_quantity") * 3).alias("w"),
         (F.col("l_quantity") * 2 + F.col("l_linenumber")).cast("double").alias("h"),
-    ).dropDuplicates(["page", "box"])
+    )
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:
