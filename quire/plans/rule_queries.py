@@ -34,8 +34,7 @@ bx as (select l_orderkey page, l_linenumber::bigint box, (l_partkey % 97 * 5)::d
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as boxes, of lines that repeat their number the one with the smallest part."""
-    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey"))
-    return boxes(table(spark, sf_dir, "lineitem").withColumn("__n", first).where("__n = 1"))
+    return boxes(table(spark, sf_dir, "lineitem"), "l_partkey")
 
 
 @query(r"select doc_id, trim(regexp_replace(l, '^[#>*\-\s]+', '')) line, trim(regexp_replace(l, '^[#>*\-|\s]+', '')) row_ from (select doc_id, unnest(string_split(text, chr(10))) l from documents)")

@@ -21,7 +21,7 @@ def tied(spark, sf, tmp_path_factory):
     return str(where), c
 
 
-@pytest.mark.parametrize("name", ["touching_groups", "mosaics", "text_blocks"])
+@pytest.mark.parametrize("name", ["touching_groups", "mosaics", "text_blocks", "box_places", "page_frames"])
 def test_first_written_counts(spark, tied, name):
     where, duck = tied
     df = catalog.QUERIES[name](spark, where)
