@@ -210,8 +210,8 @@ select distinct doc_id, line::int - 1 line from (select a.doc_id, line, sentence
 where hit >= least(3, n) and hit >= 0.8 * n""")
 def sister_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document that another line of it says too."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return rules.said_elsewhere(lines, lines.withColumnRenamed("line", "sentence"), ["doc_id"])
+    lines = F.split("text", "\n")
+    return rules.said_elsewhere(table(spark, sf_dir, "documents"), ["doc_id"], lines, lines)
 
 
 WORDS = "list_filter(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)"
