@@ -1,7 +1,7 @@
 """Words of a written page that its source lacks, each sentence with the source line it came from.
 
-A page is one row; what is sought in it stays in that row: sentences, lines and words are arrays of the
-page's own. Only the unknown words leave it, to be grouped by the sentence that holds them.
+A page is one row; what is sought in it stays in that row: sentences, lines, words and the unknown words are arrays of the
+page's own. Only the findings leave it, to be numbered.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions.text import bare_line, clipped, in_order, sentences, tokens
-from quire.operators.coverage import first_unknown, word_index, words
+from quire.operators.coverage import KEEP_UNKNOWN
 
 #: Words that only marks in the text hold.
 MARKERS = ("image", "crop", "img", "insert", "continues", "previous")
@@ -91,18 +91,23 @@ def unknown_word_findings(pages: DataFrame, key: list[str], written: str, source
     those of further sentences make one `rest` finding if they are `MANY` or more.
     """
     text = F.coalesce(written, F.lit(""))
-    index = word_index(pages, key, F.col(source), F.lit(None).cast("string"))
-    lacking = first_unknown(words(pages, key, F.col(written)), index, key).where(~F.col("word").isin(*MARKERS))
+    empty = F.array().cast("array<string>")
+    unknown = F.filter(F.array_except(tokens(F.col(written)), F.coalesce(tokens(F.col(source)), empty)), lambda w: F.char_length(w) > 2)
+    ranked = F.transform(F.slice(unknown, 1, KEEP_UNKNOWN), lambda w, i: F.struct((i + 1).alias("rank"), w.alias("word")))
+    # generators between the steps: what is worked out below them isn't worked out again for each use above
+    asked = pages.select(*key, written, source, F.explode(F.array(F.filter(ranked, lambda x: ~x["word"].isin(*MARKERS)))).alias("__asked")).where(F.size("__asked") > 0)
     lines = F.filter(F.transform(F.split(F.coalesce(source, F.lit("")), r"\n+"), lambda r: bare_line(r)), lambda r: r != "")
     worded = lambda texts: F.transform(texts, lambda t: F.struct(t.alias("text"), tokens(t).alias("words")))
-    # a generator between the steps: what is worked out below it isn't worked out again for each use above
-    page = pages.select(*key, F.explode(F.array(F.struct(worded(sentences(text)).alias("zs"), worded(F.flatten(F.transform(lines, sentences))).alias("cands")))).alias("page"))
-    spot = F.array_position(F.transform("page.zs", lambda z: F.array_contains(z["words"], F.col("word"))), True).cast("int")
-    held = lacking.join(page, key).select(*key, "word", "rank", spot.alias("z"))
+    whole = F.struct(worded(sentences(text)).alias("zs"), worded(F.flatten(F.transform(lines, sentences))).alias("cands"))
+    page = asked.select(*key, "__asked", F.explode(F.array(whole)).alias("page"))
+    spot = lambda w: F.array_position(F.transform("page.zs", lambda z: F.array_contains(z["words"], w)), True).cast("int")
+    spotted = F.transform("__asked", lambda x: F.struct(x["rank"].alias("rank"), x["word"].alias("word"), spot(x["word"]).alias("z")))
+    held = page.select(*key, "page", F.explode(F.array(spotted)).alias("held"))
 
-    one = held.where("z > 0").groupBy(*key, "z").agg(F.min("rank").alias("first"), F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("ws"))
-    met = one.join(page, key).select(*key, "first", F.get("page.zs", F.col("z") - 1).alias("z"), F.col("page.zs").alias("zs"), F.col("page.cands").alias("cands"), F.transform("ws", lambda x: x["word"]).alias("ws"))
-    empty = F.array().cast("array<string>")
+    there = F.array_remove(F.array_distinct(F.transform("held", lambda h: h["z"])), 0)
+    one = held.select(*key, "page", "held", F.explode(there).alias("z"))
+    one = one.select(*key, "page", "z", F.explode(F.array(F.filter("held", lambda h: h["z"] == F.col("z")))).alias("hs"))
+    met = one.select(*key, F.get("hs", F.lit(0))["rank"].alias("first"), F.get("page.zs", F.col("z") - 1).alias("z"), F.col("page.zs").alias("zs"), F.col("page.cands").alias("cands"), F.transform("hs", lambda x: x["word"]).alias("ws"))
 
     def judged(x: Column) -> Column:
         ws, line = x["ws"], x["line"]
@@ -126,7 +131,7 @@ def unknown_word_findings(pages: DataFrame, key: list[str], written: str, source
         *key, "place", F.lit("swap").alias("kind"), F.array_join("suspects", " ").alias("words"),
         F.array_join(F.transform(pairs, lambda p: p["near"]), " ").alias("counterparts"), clipped(F.col("sentence"), EVIDENCE).alias("sentence"), clipped(F.col("line"), EVIDENCE).alias("line"),
     )
-    loose = held.where("z = 0").select(*key, F.lit(0).alias("o"), "rank", F.lit(0).alias("i"), "word")
+    loose = held.select(*key, F.explode(F.filter("held", lambda h: h["z"] == 0)).alias("h")).select(*key, F.lit(0).alias("o"), "h.rank", F.lit(0).alias("i"), "h.word")
     later = met.where(F.col("line").isNull() | (F.col("place") > SENTENCES)).select(*key, F.lit(1).alias("o"), F.col("first").alias("rank"), F.posexplode("suspects").alias("i", "word"))
     rest = loose.union(later).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o", "rank", "i", "word"))).alias("all")).where(F.size("all") >= MANY)
     none = F.lit(None).cast("string")

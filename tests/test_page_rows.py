@@ -28,3 +28,9 @@ def test_page_status_keeps_a_page_in_its_row(spark, sf):
     assert {k: (r["words"], r["found"], r["written"], r["status"]) for k, r in got.items()} == {0: (140, 20, 100, "extra"), 2: (0, 0, 0, "failed"), 3: (280, 2, 2, "missing")}
     assert got[0]["evidence"].startswith("a line of the source") and got[2]["evidence"] == ""
     assert shuffles(catalog.QUERIES["page_status"](spark, sf)) == 1  # two documents meet in the query itself
+
+
+def test_unknown_words_are_found_in_their_row(spark, sf):
+    for name in ("unknown_word_findings", "changed_word_findings"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan  # words and sentences don't meet by joins, only findings are shuffled, to be numbered
