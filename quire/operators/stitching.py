@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from quire.functions.text import similar, tokens
 from quire.operators.rules import NOT_EDITORIAL
+from quire.sources.shared import written
 
 #: Fewer contents lines than this that lie in the volume are too few to build on.
 LEAST_LINES = 3
@@ -135,7 +136,9 @@ def by_contents(lines: DataFrame, pages: DataFrame, pieces: DataFrame, segments:
     it; so do the pages it "continues on". What stands before the first line becomes articles that are not certain.
     """
     on = ["owner", "pdf"]
-    articles = headlines(placed_lines(lines, pages, pieces, segments), pieces).withColumnRenamed("place", "article")
+    # what several results start from is written: each is worked out once, and its plan stays small
+    placed = written(placed_lines(lines, pages, pieces, segments), "placed")
+    articles = written(headlines(placed, pieces).withColumnRenamed("place", "article"), "articles")
     opened = articles.where("last_here").select("owner", F.col("pdf").alias("__at"), "article", "until", "title", "rubric", "head_title", "head_rubric")
     start = articles.select("owner", "article", "pdf", F.lit("start").alias("how"))
 
@@ -144,12 +147,13 @@ def by_contents(lines: DataFrame, pages: DataFrame, pieces: DataFrame, segments:
     marks = opened.select("owner", F.col("__at").alias("pdf"), F.lit(1).alias("__kind"), F.struct("article", "until", "title", "rubric", "head_title", "head_rubric").alias("__mark"))
     stream = pages.select("owner", "pdf", "kind", "failed", F.lit(0).alias("__kind")).unionByName(marks, allowMissingColumns=True)
     inner = stream.withColumn("of", F.last("__mark", ignorenulls=True).over(spot)).where("__kind = 0 and of is not null and pdf < of.until").select("owner", "pdf", "kind", "failed", "of.*")
+    inner = written(inner, "inner")
 
     like = lambda x, *ys: F.coalesce(F.exists(F.array(*[similar(x, y) for y in ys]), lambda s: F.coalesce(s, F.lit(False))), F.lit(False))
     renamed = pieces.withColumnsRenamed({"title": "p_title", "rubric": "p_rubric"})
     own_title = like(F.col("p_title"), F.col("title"), F.col("head_title"))
     own_rubric = like(F.col("p_rubric"), F.col("rubric"), F.col("head_rubric"), F.col("title"))
-    text = inner.join(renamed, on).withColumn("own", own_title | own_rubric)
+    text = written(inner.join(renamed, on).select("owner", "article", "pdf", "ord", "starts", "about", (own_title | own_rubric).alias("own")), "text")
     foreign = text.groupBy("owner", "article", "pdf").agg(
         F.count("*").alias("n"), F.bool_or(F.col("starts") & ~F.col("own")).alias("new"), F.bool_or(~F.col("starts") & ~F.col("own")).alias("running")
     )
@@ -160,8 +164,8 @@ def by_contents(lines: DataFrame, pages: DataFrame, pieces: DataFrame, segments:
     before = Window.partitionBy("owner", "article").orderBy("pdf").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("doubted", F.coalesce(F.last(state, ignorenulls=True).over(before), F.lit(False)))
     how = F.when(F.col("failed"), "failed").when(apart, None).when(F.col("n") == 0, "photo").otherwise("inside")
-    inside = held.withColumn("how", how).where("how is not null")
-    doubts = inside.where("how = 'inside'").select("owner", "article", "pdf", "doubted").join(text.drop("doubted"), ["owner", "article", "pdf"])
+    inside = written(held.withColumn("how", how).where("how is not null").select("owner", "article", "pdf", "doubted", "how"), "inside")
+    doubts = inside.where("how = 'inside'").select("owner", "article", "pdf", "doubted").join(text, ["owner", "article", "pdf"])
     doubts = doubts.withColumn("doubt", (F.col("starts") | F.col("doubted")) & ~F.col("own"))
     doubtful = doubts.where("doubt").select("owner", "article", "pdf", "ord")
 
@@ -286,7 +290,7 @@ def by_pages(pages: DataFrame, pieces: DataFrame, segments: DataFrame, facing: D
     rows = told.withColumn("failed", F.lit(False)).select(*failed.columns).union(failed)
     # one volume is one row: its pages are as many as a printed volume has
     events = rows.groupBy("owner").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    owned = _owners(events)
+    owned = written(_owners(events), "owned")
 
     on_page = owned.groupBy("owner", "article", "pdf").agg(F.when(F.bool_and(F.col("how") == "failed"), "failed").otherwise("text").alias("how"))
     first = owned.groupBy("owner", "article").agg(F.min_by("pdf", F.struct("pdf", "ord")).alias("begins"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import pages, stitching
+from quire.sources.shared import written
 from quire.sources.tables import table, volumes
 
 QUERIES: dict = {}
@@ -20,9 +21,9 @@ def query(f):
 
 
 def volume_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """pages, pieces, lines, segments and facing pages of all volumes."""
-    made = volumes(*[table(spark, sf_dir, n) for n in ("orders", "lineitem", "part")])
-    segments = pages.offset_segments(made["pages"], "owner", "pdf", "printed")
+    """pages, pieces, lines, segments and facing pages of all volumes; what several steps read is worked out once and written."""
+    made = {n: written(df, n) for n, df in volumes(*[table(spark, sf_dir, n) for n in ("orders", "lineitem", "part")]).items()}
+    segments = written(pages.offset_segments(made["pages"], "owner", "pdf", "printed"), "segments")
     return made | {"segments": segments, "facing": pages.spreads(made["pages"], "owner", "pdf", "facing", "printed")}
 
 
@@ -32,7 +33,10 @@ def contents_led(spark: SparkSession, sf_dir: str) -> stitching.Stitched:
 
 
 def page_led(spark: SparkSession, sf_dir: str) -> stitching.Stitched:
-    v = volume_tables(spark, sf_dir)
+    return _by_pages(volume_tables(spark, sf_dir))
+
+
+def _by_pages(v: dict[str, DataFrame]) -> stitching.Stitched:
     return stitching.by_pages(v["pages"], v["pieces"], v["segments"], v["facing"])
 
 
@@ -55,7 +59,7 @@ def contents_doubts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_led_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of the pages, with what the contents lines say of them."""
     v = volume_tables(spark, sf_dir)
-    return stitching.with_contents(page_led(spark, sf_dir), v["lines"], v["segments"])
+    return stitching.with_contents(_by_pages(v), v["lines"], v["segments"])
 
 
 @query

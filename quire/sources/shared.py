@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark removes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or the checkpoint folder; where neither is set, a local folder on a local master (tests) alone."""
@@ -22,3 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: later work starts from its files, and what was shuffled for them is removed at once.
+
+    Joins of the table are by sort and merge: small files may hold many rows, too many for a broadcast through the driver.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
