@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.sources.shared import written
+
 #: A mark is a whole block's if it covers so much of it, and the block has so many characters.
 WHOLE_SHARE, WHOLE_LEAST = 0.9, 30
 #: Whole blocks with a mark that make it the face of a box, and the share of a page's blocks that makes it the page's.
@@ -29,14 +31,13 @@ def accepted(parts: DataFrame, blocks: DataFrame, patches: DataFrame) -> DataFra
     holds the piece; `block` is null where that block doesn't hold it. `blocks` is (page, block, kind, ord)."""
     asked = patches.withColumn("find", F.trim("find"))
     target = blocks.select("page", F.col("block").alias("target"), F.lit(True).alias("__there"))
-    holding = parts.join(blocks.select("page", "block", "ord"), ["page", "block"])
-    met = asked.select("page", "patch", "find").join(holding.select("page", "block", "ord", "text"), "page").where(F.contains("text", "find") & (F.col("find") != ""))
-    held = met.select("page", "patch", "block", "ord").distinct()
+    met = asked.select("page", "patch", "find").join(parts.select("page", "block", "text"), "page").where(F.contains("text", "find") & (F.col("find") != ""))
+    held = written(met.select("page", "patch", "block").distinct().join(blocks.select("page", "block", "ord"), ["page", "block"]), "held")
     first = held.groupBy("page", "patch").agg(F.min_by("block", "ord").alias("__first"))
-    told = asked.join(target, ["page", "target"], "left").join(first, ["page", "patch"], "left")
-    told = told.withColumn("block", F.when(F.col("__there"), F.col("target")).otherwise(F.col("__first"))).drop("__there", "__first")
-    inside = held.select("page", "patch", "block", F.lit(True).alias("__held"))
-    return told.join(inside, ["page", "patch", "block"], "left").withColumn("block", F.when(F.col("__held"), F.col("block"))).drop("__held")
+    told = asked.select("page", "patch", "target").join(target, ["page", "target"], "left").join(first, ["page", "patch"], "left")
+    told = told.select("page", "patch", F.when(F.col("__there"), F.col("target")).otherwise(F.col("__first")).alias("block"))
+    inside = told.join(held, ["page", "patch", "block"], "left_semi")  # texts travel once, with the block that was found for them
+    return asked.join(inside, ["page", "patch"], "left")
 
 
 def faces(parts: DataFrame, blocks: DataFrame, placed: DataFrame) -> DataFrame:
@@ -65,12 +66,14 @@ def apply_styles(parts: DataFrame, blocks: DataFrame, patches: DataFrame) -> tup
     the block in order and the patch asks for number `nth` (from 0). Reasons: `absent`, where the block doesn't hold the piece;
     `face`, where all its styles are the face of the type around it; `beyond`, where there are fewer occurrences than it asks for.
     """
-    found = accepted(parts, blocks, patches)
+    # what several steps start from is written: each is worked out once, and what was shuffled for it goes
+    found = written(accepted(parts, blocks, patches), "found")
     placed = found.where("block is not null")
     box = F.when(F.col("kind") == "insert", F.col("block")).otherwise("")
     refused = faces(parts, blocks, placed).groupBy("page", "box").agg(F.collect_set("style").alias("refused"))
     kept = placed.join(blocks.select("page", "block", "kind"), ["page", "block"]).withColumn("box", box).join(refused, ["page", "box"], "left")
     kept = kept.withColumn("styles", F.when(F.col("refused").isNull(), F.col("styles")).otherwise(F.array_except("styles", "refused")))
+    kept = written(kept, "kept")
     left = kept.where(F.size("styles") > 0)
 
     counted = left.join(parts.select("page", "block", "part", "text"), ["page", "block"]).withColumn("n", times(F.col("text"), F.col("find")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.operators import style_patches
+from quire.sources.shared import written
 from quire.sources.tables import table
 
 QUERIES: dict = {}
@@ -40,7 +41,7 @@ def styled_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     patches = asked.select("page", F.col("ord").alias("patch"), target.alias("target"), F.coalesce(find, F.lit("?")).alias("find"), styles.alias("styles"), F.when(F.col("ord") % 9 == 8, F.lit(1)).alias("nth"))
     first = asked.withColumn("__n", F.row_number().over(Window.partitionBy("page").orderBy("ord"))).where("__n <= 3")
     whole = first.select("page", (F.col("ord") + 100_000).alias("patch"), F.col("block").alias("target"), F.col("text").alias("find"), F.array(F.lit("italic")).alias("styles"), F.lit(None).cast("int").alias("nth"))
-    return parts, blocks.drop("text"), patches.union(whole)
+    return written(parts, "parts"), written(blocks.drop("text"), "blocks"), written(patches.union(whole), "patches")
 
 
 @query

@@ -34,3 +34,9 @@ def test_unknown_words_are_found_in_their_row(spark, sf):
     for name in ("unknown_word_findings", "changed_word_findings"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan  # words and sentences don't meet by joins, only findings are shuffled, to be numbered
+
+
+def test_styles_start_from_written_tables(spark, sf):
+    for name in ("painted_styles", "dropped_styles"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan and plan.count("Scan parquet") < 9  # each table is worked out once
