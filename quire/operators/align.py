@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quire.functions.text import accent_marks, tokens, unaccented
 from quire.operators.unknown_words import nearest_in_order
+from quire.sources.shared import checkpointed
 
 
 def best_lines(sentences: DataFrame, lines: DataFrame, sentence_key: str, line_keys: list[str], least: int = 3, share: float = 0.5) -> DataFrame:
@@ -21,19 +22,22 @@ def best_lines(sentences: DataFrame, lines: DataFrame, sentence_key: str, line_k
     own = sentences.select(sentence_key, F.array_distinct(tokens(F.col("text"))).alias("ws")).where(F.size("ws") > 0)
     theirs = lines.select(*line_keys, F.array_distinct(tokens(F.col("text"))).alias("lw")).where(F.size("lw") > 0)
     asked = own.select(F.explode("ws").alias("w")).distinct()
-    spread = theirs.select(*line_keys, "lw", F.explode("lw").alias("w")).join(F.broadcast(asked) if _small(asked) else asked, "w")
-    rarity = spread.groupBy("w").agg(F.count("*").alias("df"))
+    spread = theirs.select(*line_keys, "lw", F.explode("lw").alias("w"))
+    rarity = spread.select("w").join(F.broadcast(asked) if _small(asked) else asked, "w").groupBy("w").agg(F.count("*").alias("df"))
     n = F.size("ws")
     need = F.greatest(F.least(F.lit(least), n), F.ceil(n * share).cast("int"))
     ranked = own.select(sentence_key, "ws", need.alias("need"), F.explode("ws").alias("w")).join(rarity, "w")
     rank = F.row_number().over(Window.partitionBy(sentence_key).orderBy("df", "w"))
     # words that no line has are the rarest of all and take no rank
     absent = F.size("ws") - F.count("*").over(Window.partitionBy(sentence_key))
-    probes = ranked.withColumn("rank", rank + absent).where(F.col("rank") <= F.size("ws") - F.col("need") + 1)
-    met = spread.join(probes.select(sentence_key, "ws", "need", "w"), "w").dropDuplicates([sentence_key, *line_keys])
-    scored = met.withColumn("overlap", F.size(F.array_intersect("ws", "lw"))).where("overlap >= need")
-    best = F.row_number().over(Window.partitionBy(sentence_key).orderBy(F.desc("overlap"), *line_keys))
-    return scored.withColumn("place", best).where("place = 1").select(sentence_key, *line_keys, "overlap", F.size("ws").alias("n_words"))
+    probes = ranked.withColumn("rank", rank + absent).where(F.col("rank") <= F.size("ws") - F.col("need") + 1).select(sentence_key, "ws", "need", "w")
+    probes = checkpointed(probes)
+    few = (probes.agg(F.sum(F.size("ws"))).first()[0] or 0) <= 10 * BROADCAST_WORDS
+    # lines go to the probes where they are and are scored there: only the best of a task is shuffled
+    scored = spread.join(F.broadcast(probes) if few else probes, "w").withColumn("overlap", F.size(F.array_intersect("ws", "lw"))).where("overlap >= need")
+    first = F.min(F.struct((-F.col("overlap")).alias("o"), *line_keys, F.size("ws").alias("n_words"))).alias("x")
+    best = scored.groupBy(sentence_key).agg(first)
+    return best.select(sentence_key, *[F.col(f"x.{k}").alias(k) for k in line_keys], (-F.col("x.o")).alias("overlap"), "x.n_words")
 
 
 #: Words of the query side that may be sent to all tasks.

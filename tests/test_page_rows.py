@@ -40,3 +40,8 @@ def test_styles_start_from_written_tables(spark, sf):
     for name in ("painted_styles", "dropped_styles"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "documents.parquet" not in plan and plan.count("Scan parquet") < 9  # each table is worked out once
+
+
+def test_lines_are_scored_where_they_are(spark, sf):
+    plan = catalog.QUERIES["best_line"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1  # only the best lines of a task
